@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +42,22 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     while any(f"_{n}{tag}".lower() in {c.lower() for c in columns} for n in names):
         tag = "_" + uuid.uuid4().hex[:6]
     return [f"_{n}{tag}" for n in names]
+
+
+#: A broadcast of hot groups has at most this many rows.
+HOT_GROUPS = 2000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """rows joined to their groups, groups having a row per key and the number of its rows in `size`.
+
+    Fewer than HOT_GROUPS groups can hold over n_rows / HOT_GROUPS rows each, so those are broadcast
+    whatever the table's size; the others are too small to make a task of the shuffle uneven.
+    """
+    (hot_key,) = fresh(rows.columns + groups.columns, "hot")
+    big = n_rows // HOT_GROUPS + 1
+    hot = F.broadcast(groups.where(F.col(size) >= big).withColumnRenamed(key, hot_key))
+    found = rows.join(hot, F.col(key).eqNullSafe(F.col(hot_key)), "left")
+    first = found.where(F.col(hot_key).isNotNull()).drop(hot_key)
+    rest = found.where(F.col(hot_key).isNull()).select(rows.columns).join(groups.where(F.col(size) < big), key)
+    return first.select(rest.columns).unionByName(rest)
