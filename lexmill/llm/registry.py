@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lexmill.llm import exact_dedup, packing
+from lexmill.llm import decontaminate, exact_dedup, packing, simhash
 
 QUERIES = {
+    "op3_decontamination": decontaminate.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_simhash_near_dedup": simhash.query,
     "op9_best_fit_packing": packing.query,
 }
 
 ORACLE_SQL = {
+    "op3_decontamination": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
