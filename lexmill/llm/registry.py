@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, exact_dedup, packing, simhash
+from lexmill.llm import decontaminate, exact_dedup, packing, quality, simhash, token_counts
 
 QUERIES = {
     "op3_decontamination": decontaminate.query,
+    "op4_quality_classifier": quality.query,
+    "op5_token_counts": token_counts.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_best_fit_packing": packing.query,
