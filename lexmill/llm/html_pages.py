@@ -51,6 +51,14 @@ class Maker:
 
     def words(self, n: int) -> str:
         out = [self.word() for _ in range(n)]
+        style = self.r.random()
+        if style < 0.05:  # junk that a page may hold: words over and over, shouting, rows of bars
+            out = [w for w in out[: 1 + n // 8] for _ in range(self.r.randint(4, 20))]
+            n = len(out)
+        elif style < 0.08:
+            return " ".join(w.upper() + "!!" for w in out)
+        elif style < 0.11:
+            return " | ".join(out)
         for i in range(n):
             if i == 0 or self.r.random() < 0.12:
                 out[i] = out[i].capitalize()
