@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, fresh, spread, table
+from lexmill.llm.common import cut, fresh, join_groups, spread, table
 
 #: A bitmap function of Spark makes bitmaps of this many bits.
 BLOCK_BITS = 32768
@@ -41,11 +41,11 @@ def _cells(sha: Column, blocks: int) -> tuple[Column, Column, Column]:
     return F.pmod(h, F.lit(blocks)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(BLOCK_BITS)), F.pmod(g, F.lit(BLOCK_BITS))
 
 
-def repeated_cells(hashes: DataFrame, sha: str, blocks: int) -> DataFrame:
-    """Pass one: per block, the bitmaps (first, second) of the cells that two or more rows hit."""
+def repeated_cells(hashes: DataFrame, sha: str, blocks: int, at_least: int = 2) -> DataFrame:
+    """Pass one: per block, the bitmaps (first, second) of the cells that two or more (`at_least`) rows hit."""
     block, first, second = _cells(F.col(sha), blocks)
     cells = hashes.select(F.explode(F.array((block * 2) * BLOCK_BITS + first, (block * 2 + 1) * BLOCK_BITS + second)).alias("cell"))
-    often = cells.groupBy("cell").count().where("count > 1")
+    often = cells.groupBy("cell").count().where(F.col("count") >= at_least)
     which, bit = F.floor(F.col("cell") / BLOCK_BITS), F.pmod("cell", F.lit(BLOCK_BITS))
     return often.groupBy(F.floor(which / 2).alias("block")).agg(
         F.bitmap_construct_agg(F.when(which % 2 == 0, bit)).alias("first"),
@@ -70,12 +70,13 @@ def flag_repeats(df: DataFrame, sha: str, cells: DataFrame, blocks: int, flag: s
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 256) -> DataFrame:
     """The digest of all rows: doc_id, keep_id, group_size, kept, text_sha256."""
     hashes = cut(docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_sha256")))
-    blocks = n_blocks(hashes.count(), cells_per_row, max_filter_mb)
+    n = hashes.count()
+    blocks = n_blocks(n, cells_per_row, max_filter_mb)
     flagged = flag_repeats(hashes, "text_sha256", repeated_cells(hashes, "text_sha256", blocks), blocks, "maybe")
     alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = flagged.where("maybe").select("doc_id", "text_sha256")
     groups = maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    rest = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rest = join_groups(maybe, groups, "text_sha256", "group_size", n).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(rest)
 
 
