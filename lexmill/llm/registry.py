@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, exact_dedup, html_extract, packing, quality, simhash, token_counts
+from lexmill.llm import decontaminate, exact_dedup, html_extract, line_dedup, packing, quality, simhash, token_counts
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_html_extraction": html_extract.query,
     "op3_decontamination": decontaminate.query,
     "op4_quality_classifier": quality.query,
