@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, exact_dedup, html_extract, line_dedup, packing, quality, simhash, token_counts
+from lexmill.llm import decontaminate, exact_dedup, html_extract, licences, line_dedup, packing, quality, simhash, surrogates, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_quality_classifier": quality.query,
     "op5_token_counts": token_counts.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_licence_scan": licences.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_best_fit_packing": packing.query,
+    "op10_surrogates": surrogates.query,
 }
 
 ORACLE_SQL = {
