@@ -67,7 +67,7 @@ def flag_repeats(df: DataFrame, sha: str, cells: DataFrame, blocks: int, flag: s
     return found.select(*[found[f"`{c}`"] for c in df.columns], F.coalesce(_bit(F.col(x), first) & _bit(F.col(y), second), F.lit(False)).alias(flag))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 256) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 64) -> DataFrame:
     """The digest of all rows: doc_id, keep_id, group_size, kept, text_sha256."""
     hashes = cut(docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_sha256")))
     n = hashes.count()
@@ -80,7 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return alone.unionByName(rest)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 64) -> DataFrame:
     """The rows that stay, with all their columns; of equal texts the one with the smallest doc_id."""
     sha, flag, keep = fresh(docs.columns, "sha", "maybe", "keep")
     hashed = docs.withColumn(sha, text_hash(F.col(f"`{text_col}`")))

@@ -27,6 +27,8 @@ from lexmill.llm.exact_dedup import flag_repeats, n_blocks, repeated_cells
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 3, 3, 3, 0.8
 FIELD = "<*>"
+#: The filter of recurring leaves is broadcast, at most so large; beyond it more lines shuffle.
+FILTER_MB = 64
 _VARIABLE = r"(?<!\S)[^\s0-9@]*[0-9@]\S*"
 
 
@@ -41,14 +43,26 @@ def keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
+def tidy(text: Column) -> Column:
+    """A text with single spaces inside its lines; the pattern runs only where bytes call for it."""
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D\x20]+", " ")).otherwise(text)
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(k1, k2, at, line, leaf): all lines that may have a template; at counts from 0."""
+    """(k1, k2, at, line, leaf): all lines that may have a template; at counts from 0.
+
+    The place in the tree needs a line's spaces and its leading tokens only, so the rest is masked later.
+    """
     k1, k2 = keys(id_col, text_col)
-    lines = docs.select(k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("at", "raw"))
-    lines = lines.select("k1", "k2", "at", masked(F.trim(F.regexp_replace("raw", r"[\x09\x0B-\x0D\x20]+", " "))).alias("line"))
-    tokens = F.split("line", " ")
-    lines = lines.withColumn("n", F.size(tokens)).where(F.col("n") >= min_tokens)
-    return lines.select("k1", "k2", "at", "line", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"))
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), tidy(F.col(f"`{text_col}`")).alias("text"))  # once a document, below the split
+    lines = keyed.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+    line = F.trim("raw")
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    long = lines.where((F.octet_length("raw") >= 2 * min_tokens - 1) & (n >= min_tokens))
+    return long.select("k1", "k2", "at", line.alias("line"), F.xxhash64(n, masked(F.substring_index(line, " ", depth))).alias("leaf"))
 
 
 def templates(lines: DataFrame, min_docs: int, similarity: float, depth: int) -> DataFrame:
@@ -80,10 +94,11 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, si
     """(k1, k2, drops): for each document that loses lines, which."""
     lines = lines_of(docs, id_col, text_col, depth, min_tokens)
     n = (docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("n")).first()["n"] or 0) // 100
-    blocks = n_blocks(n, 8, 256)
+    blocks = n_blocks(n, 8, FILTER_MB)
     maybe = flag_repeats(lines, "leaf", repeated_cells(lines, "leaf", blocks, min_docs), blocks, "maybe").where("maybe")
-    known = cut(templates(maybe, min_docs, similarity, depth))
-    narrow = cut(maybe.select("k1", "k2", "at", F.xxhash64(F.lit(1), "line").alias("m1"), F.xxhash64(F.lit(2), "line").alias("m2")))
+    maybe = cut(maybe.select("k1", "k2", "at", "leaf", masked(F.col("line")).alias("line")))
+    known = cut(templates(maybe.select("leaf", "line"), min_docs, similarity, depth))
+    narrow = maybe.select("k1", "k2", "at", F.xxhash64(F.lit(1), "line").alias("m1"), F.xxhash64(F.lit(2), "line").alias("m2"))
     of = known.withColumnRenamed("m2", "other")
     placed = join_groups(narrow, of, "m1", "n", narrow.count()).where("m2 = other").select("k1", "k2", "at", "t1", "t2")
     recurring = placed.groupBy("t1", "t2").agg(F.count_distinct("k1", "k2").alias("docs"), F.count(F.lit(1)).alias("n")).where(F.col("docs") >= min_docs)
@@ -96,7 +111,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text that stays, and n_lines and n_dropped."""
     a, b, flag, gone = fresh(docs.columns, "k1", "k2", "maybe", "drops")
     drops = cut(dropped_lines(docs, id_col, text_col, min_docs, similarity, depth, min_tokens))
-    blocks = n_blocks(drops.count(), 16, 256)
+    blocks = n_blocks(drops.count(), 16, FILTER_MB)
     k1, k2 = keys(id_col, text_col)
     keyed = docs.withColumns({a: k1, b: k2})
     flagged = flag_repeats(keyed, a, repeated_cells(drops, "k1", blocks, 1), blocks, flag)
