@@ -27,3 +27,24 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"lexmill/{f.relative_to(top)}")
     sc.addPyFile(path)
     sc._lexmill_shipped = True
+
+
+def local_session(cores: str = "*", **settings: str) -> SparkSession:
+    """A session for tests and small runs; a cluster's own settings win where it has some."""
+    builder = SparkSession.builder.master(f"local[{cores}]").appName("lexmill")
+    defaults = {
+        "spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1",
+    }
+    for k, v in (defaults | settings).items():
+        builder = builder.config(k, v)
+    return builder.getOrCreate()
+
+
+def spread(df):
+    """Give every core a share when the scan has fewer splits than there are cores.
+
+    A table of many row groups passes unchanged, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
