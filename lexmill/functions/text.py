@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: letters, marks, digits and underscores, joined by a dot or an apostrophe inside.
@@ -47,3 +47,13 @@ def sorted_set(items: Column) -> Column:
 def to_text(value: Column) -> Column:
     """A number in decimal digits."""
     return value.cast("string")
+
+
+def exploded(df: DataFrame, keys: list[Column | str], items: Column, item: str, place: str | None = None) -> DataFrame:
+    """A row for each item of an array, with its place on request.
+
+    An outer explode: for a plain one the optimizer puts a filter on the array's size below it, which
+    makes a costly array twice.
+    """
+    made = F.explode_outer(items).alias(item) if place is None else F.posexplode_outer(items).alias(place, item)
+    return df.select(*keys, made).where(F.col(item).isNotNull())

@@ -71,10 +71,11 @@ def allowed_scheme(url: Column, schemes: Sequence[str] = ("http", "https")) -> C
 
 def in_domain(base_host: Column | str, resolved: Column) -> Column:
     """Whether the host is that of the base, which may not be empty."""
-    wanted = F.lit(base_host) if isinstance(base_host, str) else base_host
-    if base_host == "":
-        raise ValueError("the base URL has no host")
-    return host(resolved) == wanted
+    if isinstance(base_host, str):
+        if not base_host:
+            raise ValueError("the base URL has no host")
+        base_host = F.lit(base_host)
+    return host(resolved) == base_host
 
 
 def allowed_port(url: Column, ports: Sequence[int]) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import urls
 from lexmill.functions.html import link_set
+from lexmill.functions.text import exploded
 
 OK, NOT_MODIFIED = 200, 304
 #: What becomes of a link.
@@ -63,7 +64,7 @@ def routed(replies: DataFrame, accepts: Sequence[Column]) -> DataFrame:
 
 def outgoing(replies: DataFrame, filters: Sequence[Filter] = (), schemes: Sequence[str] = ("http", "https"), merge_paths: bool = False) -> DataFrame:
     """(page, url): the distinct links to follow, resolved; not those to other schemes, no host, or the page itself."""
-    links = replies.select(F.col("url").alias("page"), F.explode(link_set(F.col("body"))).alias("link"))
+    links = exploded(replies, [F.col("url").alias("page")], link_set(F.col("body")), "link")
     resolved = urls.resolve(F.col("page"), F.col("link"))
     if merge_paths:
         resolved = F.coalesce(resolved, urls.resolve_any(F.col("page"), F.col("link")))

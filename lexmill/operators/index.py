@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from lexmill import schemas
-from lexmill.functions.text import TOKEN, tokens
+from lexmill.functions.text import TOKEN, exploded, tokens
 from lexmill.functions.urls import host
 
 BUCKETS = 256
@@ -23,7 +23,7 @@ BUCKETS = 256
 
 def token_positions(docs: DataFrame, key: str, text: str, pattern: str = TOKEN) -> DataFrame:
     """(key, pos, token): every word with its place, counted from 0."""
-    return docs.select(F.col(key), F.posexplode(tokens(F.col(text), pattern)).alias("pos", "token"))
+    return exploded(docs, [key], tokens(F.col(text), pattern), "token", "pos")
 
 
 def build_postings(docs: DataFrame, key: str, text: str, pattern: str = TOKEN) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import TOKEN, tokens
+from lexmill.functions.text import TOKEN, exploded, tokens
 
 
 def term_freq(docs: DataFrame, key: str, text: str, pattern: str = TOKEN) -> DataFrame:
     """(key, token, cnt)."""
-    return docs.select(key, F.explode(tokens(F.col(text), pattern)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("cnt"))
+    return exploded(docs, [key], tokens(F.col(text), pattern), "token").groupBy(key, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def doc_word_stats(tf: DataFrame, key: str) -> DataFrame:

@@ -24,19 +24,25 @@ def html_stage(df: DataFrame) -> DataFrame:
     return df.withColumn("text", text_nodes(F.col("body")))
 
 
-def _counted(items: Column) -> Column:
-    """(word, n) of each distinct item, sorted: a fold inside the row, without a shuffle."""
-    ordered = F.sort_array(items)
-    starts = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (F.try_element_at(ordered, F.greatest(i, F.lit(1))) != x), i)), lambda i: i.isNotNull())
+def _with_counts(df: DataFrame, items: Column, name: str) -> DataFrame:
+    """A column of (word, n) for each distinct item, sorted: runs of equal items in a sorted array, inside the row.
+
+    The sorted array and its run starts are columns of their own, so they are made once a row.
+    """
+    ordered, starts = F.col("_ordered"), F.col("_starts")
+    df = df.withColumn("_ordered", F.sort_array(items))
+    begins = F.transform(ordered, lambda x, i: F.when((i == 0) | (F.try_element_at(ordered, F.greatest(i, F.lit(1))) != x), i))
+    df = df.withColumn("_starts", F.filter(begins, lambda i: i.isNotNull()))
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ordered)))
-    found = F.zip_with(starts, ends, lambda a, z: F.struct(F.element_at(ordered, a + 1).alias("word"), (z - a).cast("long").alias("n")))
-    return F.when(F.size(items) > 0, found).otherwise(F.array().cast("array<struct<word:string,n:bigint>>"))
+    runs = F.zip_with(starts, ends, lambda a, z: F.struct(F.try_element_at(ordered, a + 1).alias("word"), (z - a).cast("long").alias("n")))
+    empty = F.array().cast("array<struct<word:string,n:bigint>>")
+    return df.withColumn(name, F.when(F.size(ordered) > 0, runs).otherwise(empty)).drop("_ordered", "_starts")
 
 
 def feature_stage(df: DataFrame, words: bool = False) -> DataFrame:
     """terms_frequencies: how often each text node occurs, or each word with `words`."""
     items = F.flatten(F.transform("text", lambda t: F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0)))) if words else F.col("text")
-    return df.withColumn("terms_frequencies", _counted(items))
+    return _with_counts(df, items, "terms_frequencies")
 
 
 def stub_stage(df: DataFrame) -> DataFrame:
