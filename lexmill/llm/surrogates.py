@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, fresh, join_groups, spread, table
-from lexmill.llm.line_dedup import keys
+from lexmill.llm.exact_dedup import flag_repeats, n_blocks, repeated_cells
+from lexmill.llm.line_dedup import FILTER_MB, keys
 
 #: Only for tests and examples; pass your own.
 KEY = "example key"
@@ -57,10 +58,15 @@ FORMS = {
 _ASSIGNED = r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key)\"?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{6,128}"
 _TITLED = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {_NAME}(?: {_NAME})?"
 _GIVEN = rf"(?:{'|'.join(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC)}) {_NAME}"
-#: Everything that is detected; it begins where no letter or digit goes before.
-ENTITY = rf"(?<![\p{{L}}\p{{N}}_])(?:{_ASSIGNED}|{'|'.join(FORMS.values())}|{_TITLED}|{_GIVEN})(?![\p{{L}}\p{{N}}_])"
+#: Everything that is detected; it begins where no letter or digit goes before. Cheap looks at the next or
+#: the last characters come before what they rule out, so most words fail at once.
+_BY_FIRST = {r"[0-9(+]": ("ipv4", "ssn", "card", "phone"), "[A-Z]": ("access", "iban")}
+_FIRSTS = "|".join(f"(?={first})(?:{'|'.join(FORMS[n] for n in names)})" for first, names in _BY_FIRST.items())
+ENTITY = (
+    rf"(?<![\p{{L}}\p{{N}}_])(?:(?<=[=:\"']|[=:]\s|[=:]\s\s){_ASSIGNED}|{FORMS['email']}|{FORMS['mac']}|{_FIRSTS}"
+    rf"|(?=[\p{{Lu}}гд])(?:{_TITLED}|{_GIVEN}))(?![\p{{L}}\p{{N}}_])"
+)
 
-_TITLE = rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.?$"
 #: Draws that keep the format; later ones may grow, so that even a small space never runs out.
 DRAWS = 6
 
@@ -234,17 +240,19 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     k1, k2 = keys(id_col, text_col)
     has = F.coalesce(text.rlike(ENTITY), F.lit(False))
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    spots = cut(docs.where(has).select(k1.alias("k1"), k2.alias("k2"), F.posexplode(found).alias("at", "raw")))
+    spots = cut(docs.where(has).select(k1.alias("k1"), k2.alias("k2"), found.alias("raws")).select("k1", "k2", F.posexplode("raws").alias("at", "raw")))
     known = cut(replacements(spots.groupBy("raw").agg(F.count(F.lit(1)).alias("n")), key))
     placed = join_groups(spots, known, "raw", "n", spots.count())
     per_doc = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "new"))).alias(new))  # a document's own mentions
-    per_doc = per_doc.select(F.col("k1").alias(a), F.col("k2").alias(b), F.transform(new, lambda x: x["new"]).alias(new))
-    flagged = docs.withColumn(flag, has)
-    hit = flagged.where(F.col(flag)).withColumns({a: k1, b: k2}).join(per_doc, [a, b], "left")
+    per_doc = cut(per_doc.select(F.col("k1").alias(a), F.col("k2").alias(b), F.transform(new, lambda x: x["new"]).alias(new)))
+    blocks = n_blocks(per_doc.count(), 16, FILTER_MB)
+    flagged = flag_repeats(docs.withColumns({a: k1, b: k2}), a, repeated_cells(per_doc, a, blocks, 1), blocks, flag)  # spares a second search of all texts
+    hit = flagged.where(F.col(flag)).join(per_doc, [a, b], "left")
     done = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.col(new), lambda s, e: F.concat(s, F.coalesce(e, F.lit("")))), "")
-    columns = [done.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    changed = hit.select(*columns, F.size(new).cast("long").alias("n_entities"))
-    return flagged.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_entities")).unionByName(changed)
+    columns = [F.when(F.col(new).isNull(), text).otherwise(done).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    changed = hit.select(*columns, F.coalesce(F.size(new), F.lit(0)).cast("long").alias("n_entities"))
+    same = flagged.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_entities"))
+    return same.unionByName(changed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
