@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from lexmill import schemas
 from lexmill.functions.text import TOKEN, exploded, tokens
@@ -106,8 +107,7 @@ class IndexStore:
 
     def postings(self, words: Sequence[str] | None = None) -> DataFrame:
         """Live postings, of the given words only: the buckets of other words are not read."""
-        schema = schemas.POSTING.add("bucket", "int") if "bucket" not in schemas.POSTING.fieldNames() else schemas.POSTING
-        table = self._table("postings", schema)
+        table = self._table("postings", T.StructType([*schemas.POSTING.fields, T.StructField("bucket", T.IntegerType())]))
         if words is not None:
             buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in words] or [("",)], "token string").select(self._bucket(F.col("token"))).collect()]
             table = table.where(F.col("bucket").isin(buckets) & F.col("token").isin(list(words)))

@@ -6,6 +6,7 @@ versions of documents), it derives them from whole tables by arithmetic on ids,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import charset, html, text, urls
 from lexmill.operators import crawl, index, model, ordered, score, search, similarity, tfidf
-from lexmill.session import ship, spread
+from lexmill.session import scratch, ship, spread
 from lexmill.sources import readers
 from lexmill.streaming import pipeline
 
@@ -579,6 +580,16 @@ def recovery_status(spark, sf_dir):
     return pipeline.recover(pages, pages.where("page_id % 3 = 0")).select("page_id", "status")
 
 
+@query(f"WITH {_nodes()} SELECT page_id, word, count(*) AS n FROM (SELECT page_id, unnest(n) AS word FROM nodes) GROUP BY page_id, word")
+def stream_pipeline(spark, sf_dir):
+    """The pipeline over the pages as a stream of files into Parquet, read back when all that was there is done."""
+    out = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "pages").schema
+    source = pipeline.messages(spark, f"{sf_dir}/pages.parquet*", schema).withColumn("body", F.col("html"))
+    pipeline.run_stream(source, f"{out}/rows", f"{out}/checkpoint", [pipeline.html_stage, pipeline.feature_stage]).awaitTermination()
+    return text.exploded(spark.read.parquet(f"{out}/rows"), ["page_id"], F.col("terms_frequencies"), "t").select("page_id", "t.word", "t.n")
+
+
 @query("SELECT doc_id, CAST(doc_id * 3 AS VARCHAR) AS word FROM documents")
 def number_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.to_text(F.col("doc_id") * 3).alias("word"))

@@ -48,3 +48,12 @@ def spread(df):
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share for tables of a job; beside the warehouse where no checkpoint folder is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return sc.getCheckpointDir()
