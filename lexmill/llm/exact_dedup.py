@@ -82,17 +82,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 64) -> DataFrame:
     """The rows that stay, with all their columns; of equal texts the one with the smallest doc_id."""
-    sha, flag, keep = fresh(docs.columns, "sha", "maybe", "keep")
+    sha, flag, keep, size = fresh(docs.columns, "sha", "maybe", "keep", "size")
     hashed = docs.withColumn(sha, text_hash(F.col(f"`{text_col}`")))
     hashes = cut(hashed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(sha).alias("sha")))
-    blocks = n_blocks(hashes.count(), cells_per_row, max_filter_mb)
+    n = hashes.count()
+    blocks = n_blocks(n, cells_per_row, max_filter_mb)
     cells = repeated_cells(hashes, "sha", blocks)
     flagged = flag_repeats(hashed, sha, cells, blocks, flag)
-    keepers = (
-        flag_repeats(hashes, "sha", cells, blocks, "maybe").where("maybe")
-        .groupBy("sha").agg(F.min("doc_id").alias(keep)).withColumnRenamed("sha", sha)
-    )
-    chosen = flagged.where(F.col(flag)).join(keepers, sha).where(F.col(f"`{id_col}`").eqNullSafe(F.col(keep))).dropDuplicates([id_col, sha])
+    keepers = flag_repeats(hashes, "sha", cells, blocks, "maybe").where("maybe").groupBy("sha").agg(F.min("doc_id").alias(keep), F.count(F.lit(1)).alias(size))
+    found = join_groups(flagged.where(F.col(flag)), cut(keepers.withColumnRenamed("sha", sha)), sha, size, n)
+    chosen = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col(keep))).dropDuplicates([id_col, sha])
     return flagged.where(~F.col(flag)).select(docs.columns).unionByName(chosen.select(docs.columns))
 
 
