@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import charset, html, text, urls
+from lexmill.functions import charset, html, normalize, text, urls
 from lexmill.operators import crawl, index, model, ordered, score, search, similarity, tfidf
 from lexmill.session import scratch, ship, spread
 from lexmill.sources import readers
@@ -537,6 +537,20 @@ def required_parameters(spark, sf_dir):
     return _asked(spark, sf_dir).select("page_id", readers.required(F.col("u"), "base_index", "name").alias("missing"))
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 10 = 0 THEN url WHEN page_id % 4 = 0 THEN 'one' WHEN page_id % 4 = 1 THEN 'two' ELSE url END AS text FROM pages""")
+def normalized_text(spark, sf_dir):
+    k = F.col("page_id") % 4
+    reply = F.when(k == 0, '{"reply":{"normalize":"one"}}').when(k == 1, '{"reply":[{"normalize":"one"},{"normalize":"two"}]}').when(k == 2, "no json").otherwise('{"reply":{}}')
+    failed = F.col("page_id") % 10 == 0
+    found = normalize.answered(F.col("url"), reply, F.when(failed, 500).otherwise(200), failed)
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("text"))
+
+
+@query("""SELECT page_id, '{"request":{"data":"' || url || '","normalize":"yes"}}' AS message FROM pages""")
+def normalize_request(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", normalize.request(F.col("url")).alias("message"))
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 

@@ -79,6 +79,11 @@ def push(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def feed(replies: DataFrame, path: str) -> None:
+    """Add the accepted replies of a crawl level to a stream, as a crawler's processor: lambda df: feed(df, path)."""
+    push(replies.select("url", "body", F.create_map().cast("map<string,string>").alias("extra")), path)
+
+
 def run_stream(source: DataFrame, out: str, checkpoint: str, stages: Sequence[Stage] = STAGES, once: bool = True):
     """The pipeline over a stream into Parquet. A batch that repeats after a failure replaces its own folder, so rows come once."""
 

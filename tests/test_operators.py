@@ -170,3 +170,18 @@ def test_recover(spark):
     assert {r.url: r.status for r in pipeline.recover(received, done).collect()} == {"a": "s", "b": "f"}
     with pytest.raises(ValueError):
         pipeline.recover(received, done, parallel=0)
+
+
+def test_crawled_pages_feed_the_stream(spark, tmp_path):
+    replies = spark.createDataFrame([("u", "u", 200, "text/html", "<p>a</p>", None)], "request_url string, url string, code int, content_type string, body string, error string")
+    pipeline.feed(replies, str(tmp_path / "in"))
+    pipeline.run_stream(pipeline.messages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [(r.url, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("u", ["a"])]
+
+
+def test_normalizer_falls_back(spark):
+    from lexmill.functions.normalize import normalized
+
+    df = spark.createDataFrame([("a",), ("b",)], "t string")
+    assert [r.t for r in normalized(df, "t", lambda c: F.when(c == "a", "A")).collect()] == ["A", "b"]
+    assert normalized(df, "t", None) is df
