@@ -73,7 +73,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word, SEED)
         return h

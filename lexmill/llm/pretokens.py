@@ -54,7 +54,7 @@ def pre_tokens(text: str) -> list[str] | None:
 class Pieces(dict):
     """Pre-token to its ids as little-endian 32-bit bytes; filled on demand, emptied when full."""
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000):
+    def __init__(self, path: str | None = None, most: int = 300_000):
         self.encode, self.most = tokenizer(path).encode, most
 
     def __missing__(self, word: str) -> bytes:
