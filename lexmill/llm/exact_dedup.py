@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, fresh, join_groups, spread, table
+from lexmill.llm.common import cut, fresh, join_groups, keys, spread, table
 
 #: A bitmap function of Spark makes bitmaps of this many bits.
 BLOCK_BITS = 32768
@@ -82,17 +82,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 64) -> DataFrame:
     """The rows that stay, with all their columns; of equal texts the one with the smallest doc_id."""
-    sha, flag, keep, size = fresh(docs.columns, "sha", "maybe", "keep", "size")
-    hashed = docs.withColumn(sha, text_hash(F.col(f"`{text_col}`")))
-    hashes = cut(hashed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(sha).alias("sha")))
+    a, b, flag, act = fresh(docs.columns, "k1", "k2", "maybe", "drop")
+    k1, k2 = keys(id_col, text_col)
+    hashes = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("sha"), k1.alias("k1"), k2.alias("k2")))
     n = hashes.count()
     blocks = n_blocks(n, cells_per_row, max_filter_mb)
-    cells = repeated_cells(hashes, "sha", blocks)
-    flagged = flag_repeats(hashed, sha, cells, blocks, flag)
-    keepers = flag_repeats(hashes, "sha", cells, blocks, "maybe").where("maybe").groupBy("sha").agg(F.min("doc_id").alias(keep), F.count(F.lit(1)).alias(size))
-    found = join_groups(flagged.where(F.col(flag)), cut(keepers.withColumnRenamed("sha", sha)), sha, size, n)
-    chosen = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col(keep))).dropDuplicates([id_col, sha])
-    return flagged.where(~F.col(flag)).select(docs.columns).unionByName(chosen.select(docs.columns))
+    maybe = flag_repeats(hashes, "sha", repeated_cells(hashes, "sha", blocks), blocks, "maybe").where("maybe").drop("maybe")
+    groups = maybe.groupBy("sha").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    placed = join_groups(maybe, groups, "sha", "size", n).withColumn("drop", ~F.col("doc_id").eqNullSafe(F.col("keep")))
+    # what to do with a document that goes (drop), or that stays but comes several times; all others pass through
+    decided = placed.groupBy("k1", "k2").agg(F.max("drop").alias("drop"), F.count(F.lit(1)).alias("n")).where("drop OR n > 1")
+    decided = cut(decided.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("drop").alias(act)))
+    blocks = n_blocks(decided.count(), 2 * cells_per_row, max_filter_mb)
+    flagged = flag_repeats(docs.withColumns({a: k1, b: k2}), a, repeated_cells(decided, a, blocks, 1), blocks, flag)
+    hit = flagged.where(F.col(flag)).join(decided, [a, b], "left").where(~F.coalesce(F.col(act), F.lit(False))).dropDuplicates([a, b])
+    own = [f"`{c}`" for c in docs.columns]
+    return flagged.where(~F.col(flag)).select(own).unionByName(hit.select(own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, fresh, join_groups, spread, table
+from lexmill.llm.common import cut, fresh, join_groups, keys, spread, table
 from lexmill.llm.exact_dedup import flag_repeats, n_blocks, repeated_cells
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 3, 3, 3, 0.8
@@ -37,12 +37,6 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _VARIABLE, FIELD)).otherwise(line)
 
 
-def keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """A document's own key of 128 bits."""
-    parts = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
-
-
 def tidy(text: Column) -> Column:
     """A text with single spaces inside its lines; the pattern runs only where bytes call for it."""
     odd = F.contains(text, F.lit("  "))

@@ -24,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, fresh, join_groups, spread, table
+from lexmill.llm.common import cut, fresh, join_groups, keys, spread, table
 from lexmill.llm.exact_dedup import flag_repeats, n_blocks, repeated_cells
-from lexmill.llm.line_dedup import FILTER_MB, keys
+from lexmill.llm.line_dedup import FILTER_MB
 
 #: Only for tests and examples; pass your own.
 KEY = "example key"
@@ -55,7 +55,7 @@ FORMS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
 }
-_ASSIGNED = r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key)\"?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{6,128}"
+_ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key)\"?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{6,128}"
 _TITLED = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {_NAME}(?: {_NAME})?"
 _GIVEN = rf"(?:{'|'.join(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC)}) {_NAME}"
 #: Everything that is detected; it begins where no letter or digit goes before. Cheap looks at the next or
