@@ -11,13 +11,18 @@ from pyspark.sql import SparkSession
 
 import lexmill
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors through Spark's own file server, once per context.
 
-    The workers of a cluster need not share a folder or a PYTHONPATH with the driver then.
+    The workers of a cluster need not share a folder or a PYTHONPATH with the driver then. Arrow batches of
+    texts are held to 16 MB unless the session has a size of its own, which bounds a worker's memory.
     """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) == "67108864b":  # the default
+        spark.conf.set(BATCH, "16m")
     if getattr(sc, "_lexmill_shipped", False):
         return
     top = Path(lexmill.__file__).parent
