@@ -2,11 +2,14 @@
 
 A line's place in the tree is of fixed depth: its number of tokens, then its leading tokens, tokens
 with digits or an @ being variable from the start. Only lines whose leaf may recur (a Bloom filter
-over the leaves, of bounded size, says so) go on; the others are never shuffled. In a leaf, a token
-that fewer than `min_docs` of its lines have at the same place is a variable field, too, so lines that
-differ in such fields share a template. A template recurs if lines of at least `min_docs` documents
-have it; it must be at least `similarity` constant beside its fields of digits, so that prose with a
-common opening isn't one. All lines of recurring templates are dropped, in every document.
+over the leaves, of bounded size, says so) go on; the others are never shuffled. In a leaf, a line's
+tokens are ordered by how many lines have them at the same place; the rarest are variable fields, too,
+so lines that differ in such fields share a template. No fixed number tells rare from common: a line
+is tried with each set of rarest tokens that leaves it constant enough, so a template is found whatever
+the size of its leaf, the other templates there, or how often the values of its fields recur. A
+template recurs if lines of at least `min_docs` documents have it; it must be at least `similarity`
+constant beside its fields of digits, so that prose with a common opening isn't one. All lines of
+recurring templates are dropped, in every document.
 
 Counts combine before each shuffle; templates of many lines join by a bounded broadcast, so a line
 that a third of all documents have lands in no single task. Documents that lose nothing pass through.
@@ -60,28 +63,38 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens
 
 
 def templates(lines: DataFrame, min_docs: int, similarity: float, depth: int) -> DataFrame:
-    """(m1, m2, t1, t2, n): for each distinct line by hash its template by hash, and the rows it has; only templates constant enough."""
+    """(m1, m2, ts, n): for each distinct line by hash the templates it may have, by hash, and the rows it has; only templates constant enough."""
     variants = cut(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")))
     leaves = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("rows"))
     several = leaves.where((F.col("variants") > 1) & (F.col("rows") >= min_docs)).select("leaf", "variants")
-    # a leaf of one line: the line is the template
-    single = variants.where(F.col("n") >= min_docs).select("line", "n", F.col("line").alias("template"))
-    spoken = join_groups(variants, several, "leaf", "variants", variants.count())
-    parts = spoken.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    often = parts.groupBy("leaf", "place", "token").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("uses")).where((F.col("total") >= min_docs) & (F.col("token") != FIELD))
-    often = often.select(F.xxhash64("leaf", "place", "token").alias("part"), "uses")
-    parts = parts.select(F.xxhash64("leaf", "line").alias("l1"), F.xxhash64("line", "leaf").alias("l2"), "n", "place", "token", F.xxhash64("leaf", "place", "token").alias("part"))
-    kept = join_groups(parts, often, "part", "uses", variants.count()).select("l1", "l2", "place")
-    places = kept.groupBy("l1", "l2").agg(F.collect_set("place").alias("constant"))  # at most a line's tokens
-    spoken = spoken.select(F.xxhash64("leaf", "line").alias("l1"), F.xxhash64("line", "leaf").alias("l2"), "line", "n").join(places, ["l1", "l2"])
-    tokens = F.split("line", " ")
-    general = F.array_join(F.transform(tokens, lambda t, i: F.when(F.array_contains("constant", i), t).otherwise(FIELD)), " ")
-    many = spoken.select("line", "n", general.alias("template"))
-    found = single.unionByName(many)
-    size, fields = F.size(F.split("template", " ")), F.size(F.filter(F.split("template", " "), lambda t: t == FIELD))
-    given = F.size(F.filter(F.split("line", " "), lambda t: t == FIELD))
-    found = found.where((size - fields >= F.lit(similarity) * (size - given)) & (size - fields >= depth))
-    return found.select(F.xxhash64(F.lit(1), "line").alias("m1"), F.xxhash64(F.lit(2), "line").alias("m2"), F.xxhash64(F.lit(1), "template").alias("t1"), F.xxhash64(F.lit(2), "template").alias("t2"), "n")
+    tokens, m1, m2 = F.split("line", " "), F.xxhash64(F.lit(1), "line"), F.xxhash64(F.lit(2), "line")
+    words = F.size(F.filter(tokens, lambda t: t != FIELD))
+    # a line is a template of its own
+    same = variants.where((F.col("n") >= min_docs) & (words >= depth)).select(m1.alias("m1"), m2.alias("m2"), "n", F.array(F.struct(m1.alias("t1"), m2.alias("t2"))).alias("ts"))
+    n_lines = variants.count()
+    spoken = join_groups(variants, several, "leaf", "variants", n_lines)
+    parts = spoken.select("leaf", m1.alias("m1"), m2.alias("m2"), "n", words.alias("words"), F.posexplode(tokens).alias("place", "token")).where(F.col("token") != FIELD)
+    often = parts.groupBy("leaf", "place", "token").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("uses")).where(F.col("total") >= min_docs)
+    often = often.select(F.xxhash64("leaf", "place", "token").alias("part"), "uses", "total")
+    parts = parts.select("m1", "m2", "n", "words", F.xxhash64("leaf", "place", "token").alias("part"))
+    kept = join_groups(parts, often, "part", "uses", n_lines)
+    lined = kept.groupBy("m1", "m2").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct("part", "total"))).alias("held"))  # at most a line's tokens
+    least = F.greatest(F.ceil(F.lit(similarity) * F.col("words") - 1e-9), F.lit(depth)).cast("int")
+    lined = lined.withColumn("least", least).where(F.size("held") >= F.col("least"))
+    # from each frequency on that leaves enough of them, the tokens are constant
+    totals = F.sort_array(F.transform("held", lambda x: x["total"]), asc=False)
+    steps = F.array_distinct(F.slice(totals, F.col("least"), F.size("held")))
+
+    def template(step: Column) -> Column:
+        constant = F.transform(F.filter("held", lambda x: x["total"] >= step), lambda x: x["part"])
+        return F.struct(F.xxhash64(F.lit(3), constant).alias("t1"), F.xxhash64(F.lit(4), constant).alias("t2"))
+
+    each = cut(lined.select("m1", "m2", "n", F.explode(F.transform(steps, template)).alias("t")).select("m1", "m2", "n", "t.t1", "t.t2"))
+    # what only one line has, it has as itself
+    shared = each.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("uses"), F.sum("n").alias("rows")).where((F.col("uses") > 1) & (F.col("rows") >= min_docs))
+    shared = join_groups(each, shared.select("t1", F.col("t2").alias("other"), "uses"), "t1", "uses", n_lines).where("t2 = other")
+    many = shared.select("m1", "m2", "n", F.array(F.struct("t1", "t2")).alias("ts"))
+    return same.unionByName(many).groupBy("m1", "m2").agg(F.flatten(F.collect_list("ts")).alias("ts"), F.max("n").alias("n"))  # fewer than a line's tokens
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float, depth: int, min_tokens: int) -> DataFrame:
@@ -94,7 +107,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, si
     known = cut(templates(maybe.select("leaf", "line"), min_docs, similarity, depth))
     narrow = maybe.select("k1", "k2", "at", F.xxhash64(F.lit(1), "line").alias("m1"), F.xxhash64(F.lit(2), "line").alias("m2"))
     of = known.withColumnRenamed("m2", "other")
-    placed = join_groups(narrow, of, "m1", "n", narrow.count()).where("m2 = other").select("k1", "k2", "at", "t1", "t2")
+    placed = join_groups(narrow, of, "m1", "n", narrow.count()).where("m2 = other").select("k1", "k2", "at", F.explode("ts").alias("t")).select("k1", "k2", "at", "t.t1", "t.t2")
     recurring = placed.groupBy("t1", "t2").agg(F.count_distinct("k1", "k2").alias("docs"), F.count(F.lit(1)).alias("n")).where(F.col("docs") >= min_docs)
     recurring = recurring.select("t1", F.col("t2").alias("other"), "n")
     gone = join_groups(placed, recurring, "t1", "n", narrow.count()).where("t2 = other")

@@ -68,6 +68,16 @@ def test_templates_with_fields_recur(spark):
     assert lines(spark, *texts) == ["mine one here", "mine two there", "mine three elsewhere"]
 
 
+@pytest.mark.parametrize("n", [30, 300, 3000])
+def test_templates_whose_word_fields_recur(spark, n):
+    """The values of two word fields recur, alone and together, at every size; another template shares the leaf."""
+    r = random.Random(n)
+    names, cities = (["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(40)] for _ in range(2))
+    told = [f"this story was sent in by reader {r.choice(names)} from {r.choice(cities)} for the weekly mail" for _ in range(n)]
+    other = [f"this story was told to us by {r.choice(names)} and edited by {r.choice(cities)} last night" for _ in range(n // 3)]
+    assert not any(lines(spark, *told, *other))
+
+
 def test_prose_with_a_common_opening_stays(spark):
     texts = [f"on the other {w} nothing else is like this {w} at {w}" for w in ("hand", "side", "day", "shore")]
     assert lines(spark, *texts) == texts
