@@ -7,15 +7,16 @@ tokens are ordered by how many lines have them at the same place; the rarest are
 so lines that differ in such fields share a template. No fixed number tells rare from common: a line
 is tried with each set of rarest tokens that leaves it constant enough, so a template is found whatever
 the size of its leaf, the other templates there, or how often the values of its fields recur. A
-template recurs if lines of at least `min_docs` documents have it; it must be at least `similarity`
-constant beside its fields of digits, so that prose with a common opening isn't one. All lines of
-recurring templates are dropped, in every document.
+template recurs if lines of at least `min_docs` documents have it. A line is a template of its own, with its digits masked, or as it is if it says next to
+nothing beside them; a template with fields for words must be at least `similarity` constant beside
+its fields of digits, and have `depth` constant tokens, so that prose with a common opening isn't one.
+All lines of recurring templates are dropped, in every document.
 
 Counts combine before each shuffle; templates of many lines join by a bounded broadcast, so a line
 that a third of all documents have lands in no single task. Documents that lose nothing pass through.
 
 Defined results: a null text stays null, an empty one empty, both with no line dropped; blank lines
-and lines of under `min_tokens` tokens are never dropped; lines end at \\n, and what stays is joined
+and lines of under `min_bytes` bytes and `min_tokens` tokens are never dropped; lines end at \\n, and what stays is joined
 by \\n; rows that agree in id and text are one document when documents are counted, and are treated
 alike; an empty table gives an empty result; other columns pass through whatever their names.
 """
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import cut, fresh, join_groups, keys, spread, table
 from lexmill.llm.exact_dedup import flag_repeats, n_blocks, repeated_cells
 
-MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 3, 3, 3, 0.8
+MIN_DOCS, MIN_TOKENS, MIN_BYTES, DEPTH, SIMILARITY = 3, 3, 4, 3, 0.8
 FIELD = "<*>"
 #: The filter of recurring leaves is broadcast, at most so large; beyond it more lines shuffle.
 FILTER_MB = 64
 _VARIABLE = r"(?<!\S)[^\s0-9@]*[0-9@]\S*"
+_CONSTANT = r"(?<!\S)[^\s0-9@]++(?!\S)"
+_WORD = r"(?<!\S)[^\s0-9@\p{L}]*+\p{L}[^\s0-9@]*+(?!\S)"
 
 
 def masked(line: Column) -> Column:
@@ -40,6 +43,16 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _VARIABLE, FIELD)).otherwise(line)
 
 
+def verbatim(line: Column, depth: int) -> Column:
+    """Whether a line says too little beside its digits for them to be fields: no word, and under `depth` constant tokens."""
+    return line.rlike("[0-9@]") & ~line.rlike(_WORD) & (F.regexp_count(line, F.lit(_CONSTANT)) < depth)
+
+
+def form(line: Column, depth: int) -> Column:
+    """What lines have to share to be repeats."""
+    return F.when(verbatim(line, depth), line).otherwise(masked(line))
+
+
 def tidy(text: Column) -> Column:
     """A text with single spaces inside its lines; the pattern runs only where bytes call for it."""
     odd = F.contains(text, F.lit("  "))
@@ -48,7 +61,7 @@ def tidy(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D\x20]+", " ")).otherwise(text)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, min_bytes: int) -> DataFrame:
     """(k1, k2, at, line, leaf): all lines that may have a template; at counts from 0.
 
     The place in the tree needs a line's spaces and its leading tokens only, so the rest is masked later.
@@ -58,22 +71,25 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens
     lines = keyed.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
     line = F.trim("raw")
     n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    long = lines.where((F.octet_length("raw") >= 2 * min_tokens - 1) & (n >= min_tokens))
-    return long.select("k1", "k2", "at", line.alias("line"), F.xxhash64(n, masked(F.substring_index(line, " ", depth))).alias("leaf"))
+    long = lines.where((line != "") & ((n >= min_tokens) | (F.octet_length(line) >= min_bytes)))
+    head = F.substring_index(line, " ", depth)
+    place = F.when(verbatim(line, depth), line).otherwise(masked(head))
+    return long.select("k1", "k2", "at", line.alias("line"), F.xxhash64(n, place).alias("leaf"))
 
 
 def templates(lines: DataFrame, min_docs: int, similarity: float, depth: int) -> DataFrame:
-    """(m1, m2, ts, n): for each distinct line by hash the templates it may have, by hash, and the rows it has; only templates constant enough."""
+    """(m1, m2, ts, n): for each distinct line by hash the templates it may have, by hash, and the rows it has; those with fields for words only if constant enough."""
     variants = cut(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")))
     leaves = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("rows"))
     several = leaves.where((F.col("variants") > 1) & (F.col("rows") >= min_docs)).select("leaf", "variants")
     tokens, m1, m2 = F.split("line", " "), F.xxhash64(F.lit(1), "line"), F.xxhash64(F.lit(2), "line")
     words = F.size(F.filter(tokens, lambda t: t != FIELD))
-    # a line is a template of its own
-    same = variants.where((F.col("n") >= min_docs) & (words >= depth)).select(m1.alias("m1"), m2.alias("m2"), "n", F.array(F.struct(m1.alias("t1"), m2.alias("t2"))).alias("ts"))
+    # a line is a template of its own, however short
+    same = variants.where(F.col("n") >= min_docs).select(m1.alias("m1"), m2.alias("m2"), "n", F.array(F.struct(m1.alias("t1"), m2.alias("t2"))).alias("ts"))
     n_lines = variants.count()
     spoken = join_groups(variants, several, "leaf", "variants", n_lines)
-    parts = spoken.select("leaf", m1.alias("m1"), m2.alias("m2"), "n", words.alias("words"), F.posexplode(tokens).alias("place", "token")).where(F.col("token") != FIELD)
+    spoken = spoken.select("leaf", m1.alias("m1"), m2.alias("m2"), "n", words.alias("words"), tokens.alias("tokens"))  # once a line, below the split
+    parts = spoken.select("leaf", "m1", "m2", "n", "words", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != FIELD)
     often = parts.groupBy("leaf", "place", "token").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("uses")).where(F.col("total") >= min_docs)
     often = often.select(F.xxhash64("leaf", "place", "token").alias("part"), "uses", "total")
     parts = parts.select("m1", "m2", "n", "words", F.xxhash64("leaf", "place", "token").alias("part"))
@@ -97,13 +113,13 @@ def templates(lines: DataFrame, min_docs: int, similarity: float, depth: int) ->
     return same.unionByName(many).groupBy("m1", "m2").agg(F.flatten(F.collect_list("ts")).alias("ts"), F.max("n").alias("n"))  # fewer than a line's tokens
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float, depth: int, min_tokens: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float, depth: int, min_tokens: int, min_bytes: int) -> DataFrame:
     """(k1, k2, drops): for each document that loses lines, which."""
-    lines = lines_of(docs, id_col, text_col, depth, min_tokens)
+    lines = lines_of(docs, id_col, text_col, depth, min_tokens, min_bytes)
     n = (docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("n")).first()["n"] or 0) // 100
     blocks = n_blocks(n, 8, FILTER_MB)
     maybe = flag_repeats(lines, "leaf", repeated_cells(lines, "leaf", blocks, min_docs), blocks, "maybe").where("maybe")
-    maybe = cut(maybe.select("k1", "k2", "at", "leaf", masked(F.col("line")).alias("line")))
+    maybe = cut(maybe.select("k1", "k2", "at", "leaf", form(F.col("line"), depth).alias("line")))
     known = cut(templates(maybe.select("leaf", "line"), min_docs, similarity, depth))
     narrow = maybe.select("k1", "k2", "at", F.xxhash64(F.lit(1), "line").alias("m1"), F.xxhash64(F.lit(2), "line").alias("m2"))
     of = known.withColumnRenamed("m2", "other")
@@ -114,10 +130,10 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, si
     return gone.groupBy("k1", "k2").agg(F.collect_set("at").alias("drops"))  # at most a document's lines
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with the text that stays, and n_lines and n_dropped."""
     a, b, flag, gone = fresh(docs.columns, "k1", "k2", "maybe", "drops")
-    drops = cut(dropped_lines(docs, id_col, text_col, min_docs, similarity, depth, min_tokens))
+    drops = cut(dropped_lines(docs, id_col, text_col, min_docs, similarity, depth, min_tokens, min_bytes))
     blocks = n_blocks(drops.count(), 16, FILTER_MB)
     k1, k2 = keys(id_col, text_col)
     keyed = docs.withColumns({a: k1, b: k2})

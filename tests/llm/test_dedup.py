@@ -87,6 +87,17 @@ def test_blank_and_short_lines_stay(spark):
     assert lines(spark, "a b\n\nx", "a b\n\ny", "a b\n\nz") == ["a b\n\nx", "a b\n\ny", "a b\n\nz"]
 
 
+@pytest.mark.parametrize("line", ["Read more", "Copyright 2024 Acme", "Page 3 of 10", "Published: 12 May 2024", "版权所有", "続きを読む", "12 345 678", "Home"])
+def test_repeats_word_for_word_go(spark, line):
+    assert lines(spark, *[f"{line}\nown{w}" for w in "abc"]) == ["owna", "ownb", "ownc"]
+
+
+def test_masked_repeats_go_unless_they_are_numbers_alone(spark):
+    assert not any(lines(spark, "Page 1 of 10", "Page 2 of 10", "Page 3 of 12"))
+    numbers = ["1 2 | 3", "4 5 | 6", "7 8 | 9", "2024", "2025", "2026"]
+    assert lines(spark, *numbers) == numbers
+
+
 def test_repeats_within_a_document_are_no_recurrence(spark):
     assert lines(spark, "this line again\n" * 5, "other words here") == ["this line again\n" * 5, "other words here"]
 
