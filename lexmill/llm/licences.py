@@ -10,7 +10,7 @@ template that the text has around it are counted exactly, and SIMILARITY of them
 
 Documents stream past the templates, which are a fixed list, and are never shuffled.
 
-Defined results: a null or empty text has no match; matches of one template that overlap are one;
+Defined results: a null or empty text has no match; matches of one licence that overlap are one;
 templates without words match nothing; rows with a null or repeated id return as often as they come;
 an empty table gives an empty result; columns of other names pass through unread.
 """
@@ -42,11 +42,10 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "MIT": [
-        "Released under the MIT License",
+        "under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ],
     "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
     "GPL-2.0": ["it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
@@ -62,6 +61,59 @@ TEMPLATES = {
     "all-rights-reserved": ["All rights reserved"],
 }
 
+# Core phrases of short notices. Up to eight words have to be there all, so they tell versions apart.
+_PHRASES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0 licensed", "Apache-2.0 licensed"],
+    "MIT": ["under the terms of the MIT License", "under an MIT License", "under the MIT Licence", "The MIT License (MIT)", "MIT License Copyright (c)", "is MIT licensed", "is licensed under MIT", "licensed under MIT license"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3", "version 3 of the GNU Affero General Public License", "under the GNU AGPLv3", "under the AGPL v3", "under the AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Library General Public License", "under the LGPL v3", "under the LGPL v2.1"],
+    "BSD": ["under the BSD License", "under a BSD License", "BSD-style license", "BSD 2-Clause License", "BSD 3-Clause License", "2-clause BSD license", "3-clause BSD license", "Simplified BSD License", "New BSD License", "Modified BSD License"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "under the MPL 2.0"],
+    "ISC": ["under the ISC License", "ISC License Copyright (c)", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0 Public Domain Dedication", "Creative Commons Zero v1.0", "Creative Commons CC0 license", "under the CC0 license", "has waived all copyright and related or neighboring rights"],
+    "Unlicense": ["under the Unlicense License", "This is free and unencumbered software released into the public domain", "refer to unlicense.org"],
+    "EPL-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v 2.0", "Eclipse Public License v2.0"],
+    "EPL-1.0": ["Eclipse Public License, version 1.0", "Eclipse Public License 1.0", "Eclipse Public License v 1.0", "Eclipse Public License v1.0"],
+    "BSL-1.0": ["Boost Software License, version 1.0", "Boost Software License 1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"],
+    "Zlib": ["under the zlib License", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "WTFPL": ["Do What The Fuck You Want To Public License"],
+    "Artistic-2.0": ["under the Artistic License 2.0", "The Artistic License 2.0"],
+}
+# Whole texts of the licences that are short; their parts are above.
+_TEXTS = {
+    "MIT": TEMPLATES["MIT"][1] + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Unlicense": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+}
+
+
+def _short_forms() -> dict[str, list[str]]:
+    """Notices that are made alike for many licences: GNU and Creative Commons ones by version, and SPDX tags."""
+    out: dict[str, list[str]] = defaultdict(list)
+    for v in "23":
+        name = f"GPL-{v}.0"
+        out[name] += [f"GNU General Public License{x}" for x in (f", version {v}", f" v{v}", f" v{v}.0", f" {v}.0", f" as published by the Free Software Foundation, version {v}", f" Version {v} or later")]
+        out[name] += [f"version {v} of the GNU General Public License", f"under the GNU GPL v{v}", f"under the GNU GPLv{v}", f"under the terms of the GPLv{v}", f"under the GPL v{v}", f"under the GPL version {v}", f"licensed under the GPLv{v}", f"licensed under GPL-{v}.0"]
+    words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for v, where in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+            said = "-".join(words[w] for w in kind.split("-"))
+            apart = {said, said.replace("NonCommercial", "Non-Commercial"), said.replace("ShareAlike", "Share Alike"), said.replace("NoDerivatives", "NoDerivs"), said.replace("NoDerivatives", "No Derivatives")}
+            out[f"CC-{kind}-{v}"] += [f"CC {kind} {v}", f"creativecommons.org/licenses/{kind}/{v}", *(f"Creative Commons {x} {v} {tail}" for x in sorted(apart) for tail in (where, "License", "licence"))]
+    for name in [*TEMPLATES, *_PHRASES, *out]:
+        if name not in ("BSD", "LGPL", "all-rights-reserved"):
+            out[name].append(f"SPDX-License-Identifier: {name}")
+    out["BSD"] += ["SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause"]
+    out["LGPL"] += [f"SPDX-License-Identifier: LGPL-{v}" for v in ("2.0", "2.1", "3.0")]
+    return out
+
+
+for _more in (_PHRASES, {k: [t] for k, t in _TEXTS.items()}, _short_forms()):
+    for _name, _texts in _more.items():
+        _own = TEMPLATES.setdefault(_name, [])
+        _own += [t for t in dict.fromkeys(_texts) if t not in _own]
+
 
 def shingle_set(words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
@@ -109,6 +161,12 @@ class Finder:
         self.shingles = [shingle_set(w, width) for _, w in templates]
         rng = np.random.default_rng(SEED + width)
         self.factors = rng.integers(0, 2**63, bands, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.single: dict[int, set[int]] = defaultdict(set)
+        for t, (_, words) in enumerate(templates):
+            if width < SHINGLE:
+                self.single[int(shingle_hashes(seen.of(words), width)[0])].add(t)
+        self.single, self.held = dict(self.single), np.zeros(1 << 16, bool)
+        self.held[[v >> 48 for v in self.single]] = True
         self.owners: list[dict[int, set[int]]] = [defaultdict(set) for _ in range(bands)]
         for t, (_, words) in enumerate(templates):
             hashes = shingle_hashes(seen.of(words), width)
@@ -124,7 +182,11 @@ class Finder:
     def candidates(self, hashes: np.ndarray) -> dict[int, set[int]]:
         """Templates by the places of the windows that retrieve them."""
         found: dict[int, set[int]] = defaultdict(set)
-        if len(hashes):
+        if self.width < SHINGLE:  # all templates are one shingle, so it is looked up itself
+            for at in np.flatnonzero(self.held[hashes >> np.uint64(48)]).tolist():
+                for t in self.single.get(int(hashes[at]), ()):
+                    found[t].add(at)
+        elif len(hashes):
             for b in range(self.bands):
                 minima = window_minima(hashes * self.factors[b], WINDOW, STEP)
                 for at in np.flatnonzero(self.maybe[b][minima >> np.uint64(48)]).tolist():
@@ -186,7 +248,19 @@ def scan_texts(texts: list[str | None], found_by: list[Finder], seen: Words) ->
                 for d, at in by_doc.items():
                     doc, start, end = bounds[d]
                     out[doc] += finder.matches(t, at, flat, start, end)
-    return [sorted(set(m), key=lambda x: (x[2], x[0], x[3])) for m in out]
+    return [merged(m) for m in out]
+
+
+def merged(matches: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """Matches in order, those of one licence that overlap being one, with the most that a template of it has."""
+    out: dict[str, list] = defaultdict(list)
+    for name, share, first, end in sorted(matches, key=lambda x: (x[2], x[3])):
+        own = out[name]
+        if own and first < own[-1][3]:
+            own[-1] = (name, max(share, own[-1][1]), own[-1][2], max(end, own[-1][3]))
+        else:
+            own.append((name, share, first, end))
+    return sorted((m for own in out.values() for m in own), key=lambda x: (x[2], x[0], x[3]))
 
 
 MATCHES = T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())]))

@@ -228,6 +228,23 @@ def test_licences_of_edges(spark, edge_docs, no_docs):
     assert [m for m, _ in got[4]] == ["MIT", "all-rights-reserved", "MIT"]
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Licensed under the MIT License.", {"MIT"}), ("the code is MIT licensed", {"MIT"}), ("// SPDX-License-Identifier: MIT", {"MIT"}),
+        ("licensed under the GNU General Public License, version 3", {"GPL-3.0"}), ("This work is licensed under the GNU General Public License, version 2", {"GPL-2.0"}),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", {"GPL-3.0"}), ("GNU Affero General Public License version 3", {"AGPL-3.0"}), ("under the GNU Lesser General Public License", {"LGPL"}),
+        ("under the ISC license", {"ISC"}), ("dedicated under CC0 1.0 Universal", {"CC0-1.0"}), ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+        ("the Eclipse Public License v 2.0", {"EPL-2.0"}), ("Distributed under the Boost Software License, Version 1.0.", {"BSL-1.0"}), ("covered by the Apache License 2.0", {"Apache-2.0"}),
+        ("CC BY-ND 4.0", {"CC-BY-ND-4.0"}), ("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", {"CC-BY-NC-SA-4.0"}), ("Creative Commons Attribution 3.0 Unported", {"CC-BY-3.0"}),
+        ("he went to MIT and got a licence under the general public", set()), ("the license version 3 of a boost", set()),
+    ],
+)
+def test_licence_variants(text, names):
+    (found,) = licences.scan_texts([f"some words before {text} and some words after"], licences.finders(licences.TEMPLATES), licences.Words())
+    assert {m[0] for m in found} == names and len(found) == len(names)
+
+
 def test_window_minima():
     v = np.array([5, 3, 9, 1, 7, 8, 2], np.uint64)
     assert licences.window_minima(v, 4, 2).tolist()[:3] == [1, 1, 2]
