@@ -1,13 +1,15 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions alone.
 
-Detected: e-mail addresses, phone numbers, payment cards, social security numbers, IBANs, IPv4 and
-MAC addresses, access keys, passwords and tokens that are assigned, and names after a title or
+Detected: e-mail addresses, phone numbers, payment cards, social security numbers, IBANs, IPv4, IPv6
+and MAC addresses, access keys, passwords and tokens that are assigned, and names after a title or
 beginning with a known given name. Every distinct entity of the corpus gets one surrogate, derived
 from a secret key, so all its mentions stay alike in every document (coreference); spellings of one
 entity (separators of a number, case of an address, a surname alone or with its given name) share
 it. A surrogate keeps type and format: digits stay digits, letters letters of their script and case,
 separators stay; country codes, card brands, valid check digits, octet ranges and the last label
-of a domain are kept; given names keep their gender and script.
+of a domain are kept; given names keep their gender and script. A name runs over initials, particles
+and any further capitalised parts, the last of which is the surname; particles stay, initials become
+other letters, which need not be distinct.
 
 Distinctness is checked over the whole corpus: a candidate that equals an entity of the corpus, or a
 surrogate already given, or that two entities would share, is drawn again with the next number of the
@@ -43,27 +45,34 @@ SYLLABLES = "bar ben cor dal den far gar hal ken lan mar mer nor pel ran sel tor
 SYLLABLES_CYRILLIC = "бар бел вор гор дан зар кор лан мар мир нов пол рам сол тар хор".split()
 
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_INITIAL = r"(?:(?:\p{Lu}\.){1,4}|\p{Lu})"
+#: Parts of names that stay.
+PARTICLES = "van von der den de la le du da di do dos das del della bin ibn al el ter ten zu zur zum af av y e i".split()
+#: What a name may have before its surname, and the surname.
+_RUN = rf"(?:(?:{_NAME}|{_INITIAL}|{'|'.join(PARTICLES)}) ){{0,15}}{_NAME}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Forms that tell their type by themselves, in the order in which they are tried.
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "access": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",
+    "ipv6": rf"(?={_HEX}:)(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,39}}[0-9])(?:(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:))",
     "mac": r"(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}",
     "ipv4": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4} [0-9]{5,8}|0[0-9]{1,4}(?: [0-9]{2,4}){2,4}",
 }
 _ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key)\"?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{6,128}"
-_TITLED = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {_NAME}(?: {_NAME})?"
-_GIVEN = rf"(?:{'|'.join(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC)}) {_NAME}"
+_TITLED = rf"(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? ){{1,3}}{_RUN}"
+_GIVEN = rf"(?:{'|'.join(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC)}) {_RUN}"
 #: Everything that is detected; it begins where no letter or digit goes before. Cheap looks at the next or
 #: the last characters come before what they rule out, so most words fail at once.
 _BY_FIRST = {r"[0-9(+]": ("ipv4", "ssn", "card", "phone"), "[A-Z]": ("access", "iban")}
 _FIRSTS = "|".join(f"(?={first})(?:{'|'.join(FORMS[n] for n in names)})" for first, names in _BY_FIRST.items())
 ENTITY = (
-    rf"(?<![\p{{L}}\p{{N}}_])(?:(?<=[=:\"']|[=:]\s|[=:]\s\s){_ASSIGNED}|{FORMS['email']}|{FORMS['mac']}|{_FIRSTS}"
+    rf"(?<![\p{{L}}\p{{N}}_])(?:(?<=[=:\"']|[=:]\s|[=:]\s\s){_ASSIGNED}|{FORMS['email']}|{FORMS['ipv6']}|{FORMS['mac']}|{_FIRSTS}"
     rf"|(?=[\p{{Lu}}гд])(?:{_TITLED}|{_GIVEN}))(?![\p{{L}}\p{{N}}_])"
 )
 
@@ -85,16 +94,18 @@ def parts_of(raw: DataFrame) -> DataFrame:
     pieces = typed.select("raw", "whole", F.posexplode(F.when(F.col("whole") == "person", F.split("raw", " ")).otherwise(F.array("raw"))).alias("at", "piece"), F.size(F.split("raw", " ")).alias("n"))
     first = F.regexp_replace(F.element_at(F.split("raw", " "), 1), r"\.$", "")
     titled = F.col("raw").rlike(rf"^(?:{_TITLED})$")
-    given = titled & (F.col("at") == 1) & (F.col("n") == 3) | ~titled & (F.col("at") == 0)
+    title = titled & (F.col("at") < F.col("n") - 1) & F.regexp_replace("piece", r"\.$", "").isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+    given = F.col("at") < F.col("n") - 1
     male = F.when(titled, first.isin(MALE_TITLES)).otherwise(F.col("piece").isin(MALE + MALE_CYRILLIC))
     female = F.when(titled, first.isin(FEMALE_TITLES)).otherwise(F.col("piece").isin(FEMALE + FEMALE_CYRILLIC))
-    person = F.when(titled & (F.col("at") == 0), F.lit(None).cast("string")).when(given & male, "male").when(given & female, "female").when(given, "given").otherwise("surname")
+    person = F.when(title | F.col("piece").isin(PARTICLES), F.lit(None).cast("string")).when(F.col("piece").rlike(f"^{_INITIAL}$"), "initial").when(given & male, "male").when(given & female, "female").when(given, "given").otherwise("surname")
     kind = F.when(F.col("whole") == "person", person).otherwise(F.col("whole"))
     digits = F.regexp_replace("piece", "[^0-9]", "")
     canon = (
         F.when(kind == "email", F.lower("piece"))
         .when(kind == "phone", F.when(F.length(digits) >= 10, F.expr("right(regexp_replace(piece, '[^0-9]', ''), 10)")).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
+        .when(kind == "ipv6", F.lower("piece"))
         .when(kind.isin("iban", "mac"), F.upper(F.regexp_replace("piece", "[ :-]", "")))
         .otherwise(F.col("piece"))
     )
@@ -173,6 +184,8 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     fit_card = (10 - _luhn(F.concat(card, F.lit("0")))) % 10
     hexes = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), _number(s, i, 16) + 1, F.lit(1))).when(c.rlike("[A-F]"), F.substring(F.lit("0123456789ABCDEF"), _number(s, i, 16) + 1, F.lit(1))).otherwise(c)), "")
     more = F.when(F.col("draw") < DRAWS, "").otherwise(F.expr("right(conv(substring(stream, 200, 8), 16, 10), 5)"))
+    room = (F.col("draw") >= DRAWS) & canon.contains("::") & (F.size(F.split(canon, ":")) < 7)
+    longer = F.when(room, F.concat(F.when(canon.endswith(":"), "").otherwise(":"), F.substring(s, 200, 4))).otherwise("")
     made = (
         F.when(kind == "email", F.concat(F.regexp_extract(alike, r"^([^@]*)@", 1), more, F.lit("@"), F.substring_index(F.substring(alike, F.lit(1), F.length(alike) - F.length(last)), "@", -1), last))
         .when(kind == "access", F.concat(F.substring(canon, 1, 4), F.substring(alike, 5, 64), more))
@@ -180,6 +193,8 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(kind == "mac", F.upper(F.substring(s, F.lit(1), F.length(canon))))
         .when(kind == "ipv4", F.concat_ws(".", *[octet(k) for k in range(4)]))
         .when(kind == "card", F.concat(card, ((fit_card + off) % 10).cast("string")))
+        .when(kind == "ipv6", F.concat(F.substring_index(canon, ":", 1), F.substring(hexes, F.length(F.substring_index(canon, ":", 1)) + 1, F.lit(64)), longer))
+        .when((kind == "phone") & canon.startswith("0"), F.concat(F.lit("0"), F.substring(alike, 2, 64)))
         .when(kind == "phone", F.concat(F.when(alike.rlike("^[01]"), (2 + _number(s, 100, 8)).cast("string")).otherwise(F.substring(alike, 1, 1)), F.substring(alike, 2, 64)))
         .when((kind == "secret") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.concat(hexes, more))
         .when(kind.isin("male", "female", "given", "surname"), F.concat(_name(kind, canon, s), F.when(F.col("draw") < DRAWS, "").otherwise(F.translate(more, "0123456789", "abcdefghij"))))
@@ -221,15 +236,18 @@ def rendered(pieces: DataFrame) -> DataFrame:
 
     formed = F.array_join(F.zip_with(chars, turn, one), "")
     mail = F.when(F.col("piece").rlike("[a-z]") | ~F.col("piece").rlike("[A-Z]"), F.col("surrogate")).otherwise(F.upper("surrogate"))
-    return pieces.withColumn("new", F.when(F.col("surrogate").isNull(), F.col("piece")).when(F.col("kind") == "email", mail).when(plain, F.col("surrogate")).otherwise(formed))
+    hexes = F.when(F.col("piece").rlike("[A-F]") & ~F.col("piece").rlike("[a-f]"), F.upper("surrogate")).otherwise(F.col("surrogate"))
+    return pieces.withColumn("new", F.when(F.col("surrogate").isNull(), F.col("piece")).when(F.col("kind") == "email", mail).when(F.col("kind") == "ipv6", hexes).when(plain, F.col("surrogate")).otherwise(formed))
 
 
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
     """(raw, n, new): what replaces each distinct mention (raw, n)."""
-    parts = cut(parts_of(mentions.select("raw")))
+    parts = parts_of(mentions.select("raw")).withColumn("draw", F.lit(0)).withColumn("stream", _stream(key, "kind", "canon", "draw"))
+    initial = F.coalesce(F.col("kind") == "initial", F.lit(False))  # another letter; there are too few for distinct ones
+    parts = cut(parts.select("raw", "at", F.when(~initial, F.col("kind")).alias("kind"), F.when(initial, _alike("piece", "stream")).otherwise(F.col("piece")).alias("piece"), "canon"))
     entities = parts.where("kind is not null").select("kind", "canon").distinct()
     given = parts.join(assign(cut(entities), key), ["kind", "canon"], "left")
-    whole = rendered(given).groupBy("raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), " ").alias("new"))  # three parts at most
+    whole = rendered(given).groupBy("raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), " ").alias("new"))  # a name's parts
     return mentions.join(whole, "raw")
 
 
