@@ -1,35 +1,44 @@
 """Quality classifier by compression: which of two dictionaries explains a text better?
 
-zstandard dictionaries are trained on text labelled good and text labelled bad. A text is compressed
-chunk by chunk with either; the difference of the two sizes, over the chunk's length, says how much
-more the good dictionary helps. The length-weighted mean of the chunks, the worst chunk and the sizes
+zstandard dictionaries of equal size are trained on text labelled good and text labelled bad. A text is
+compressed chunk by chunk with either; the difference of the two sizes, over the chunk's length, says how
+much more the good dictionary helps. The length-weighted mean of the chunks, the worst chunk and the sizes
 themselves go through a logistic curve fitted on labelled texts that no dictionary has seen, so the
 score is a calibrated probability. Chunks keep long texts from explaining themselves; all of a text
 is compressed, only alone its bytes count.
 
-Fitting takes a bounded sample: at most `per_class` labelled rows of either class, the first in
-order of a hash of doc_id, two thirds for the dictionaries (of each text at most `chunks_per_text`
-chunks, evenly spread) and one third for the curve. Rows with crc32(doc_id as text) mod 3 = 1 are held
-out of it all. Scoring reads every row once and shuffles nothing.
+Fitting takes a bounded sample of labelled rows, each read whole: of either class the first in order of a
+hash of doc_id, at most `per_class` of them and no more than together have `max_bytes` bytes. Two
+thirds are for the dictionaries and one third is for the curve. A dictionary has the same share of its
+samples whatever their number, at most `DICTIONARY_BYTES`, and is always trained. Rows with crc32(doc_id as text)
+mod 3 = 1 are held out of it all. Scoring reads every row once and shuffles nothing.
 
 Defined results: a null text is scored as an empty one; an empty text has the features of a text that
 neither dictionary helps; labels that are null, neither 0 nor 1, or contradictory for a doc_id are
-not learned from; with under `MIN_ROWS` rows of either class every score is the share of good ones
-(0.5 without labels); rows with a null doc_id are scored, held_out being null; repeated rows return as
-often as they come; other columns of the input pass through `keep_good` unread.
+not learned from; of several texts of one doc_id the least is learned from; with under `MIN_ROWS` rows of
+either class for the dictionaries or under one for the curve, or texts in which zstandard finds nothing to train on,
+every score is the share of good labels (0.5 without labels); rows with a null doc_id are scored, held_out
+being null; repeated rows return as often as they come; other columns of the input pass through
+`keep_good` unread.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import fresh, spread, table
+from lexmill.llm.common import cut, fresh, spread, table
 from lexmill.session import ship
 
-PER_CLASS, CHUNKS_PER_TEXT = 6000, 4
-DICTIONARY_BYTES, LEVEL, CHUNK, SAMPLE = 262_144, 3, 1024, 4096
+#: Labelled rows of either class that are learned from, and the bytes that they may have together.
+PER_CLASS, MAX_BYTES = 6000, 24 << 20
+#: A dictionary's share of its samples and its greatest size.
+SHARE, DICTIONARY_BYTES = 1 / 8, 262_144
+LEVEL, CHUNK, SAMPLE = 3, 1024, 4096
+#: Rows of either class that the dictionaries need; zstandard itself refuses fewer than some five samples.
 MIN_ROWS = 8
 #: Bytes that a compressed chunk has whatever it holds.
 FRAME = 12
@@ -42,20 +51,29 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """Two dictionaries and a logistic curve over the features they give a text."""
 
-    def __init__(self, good: list[bytes], bad: list[bytes]):
-        self.dictionaries = [self.train(x) for x in (bad, good)]
+    def __init__(self, good: list[str], bad: list[str]):
         self.weights = np.zeros(0)
         self.constant: float | None = None
         self.pair = None
+        samples = [[data[a : a + SAMPLE] for t in texts for data in (t.encode(),) for a in range(0, len(data), SAMPLE)] for texts in (bad, good)]
+        for x in samples:  # in order of a hash, so that a long repetitive text isn't all that a stretch of the samples holds
+            x.sort(key=lambda part: (zlib.crc32(part), part))
+        size = int(min(DICTIONARY_BYTES, SHARE * min(sum(map(len, x)) for x in samples)))
+        self.dictionaries = [self.train(x, size) for x in samples] if min(len(good), len(bad)) >= MIN_ROWS else [None, None]
+
+    @property
+    def trained(self) -> bool:
+        return None not in self.dictionaries
 
     @staticmethod
-    def train(samples: list[bytes]) -> tuple[bytes, bool]:
-        """A dictionary, and whether it is raw content, as it is where the samples are too few to train on."""
+    def train(samples: list[bytes], size: int) -> bytes | None:
+        """A dictionary of at most so many bytes; None where zstandard finds nothing to train on."""
         import zstandard
 
-        if sum(map(len, samples)) >= 4 * DICTIONARY_BYTES:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), False
-        return b"".join(samples)[:DICTIONARY_BYTES] or bytes(8), True
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            return None
 
     def __getstate__(self):
         return self.__dict__ | {"pair": None}
@@ -65,8 +83,8 @@ class Model:
 
         if self.pair is None:
             self.pair = []
-            for data, raw in self.dictionaries:
-                held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO)
+            for data in self.dictionaries:
+                held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT)
                 held.precompute_compress(level=LEVEL)
                 self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False).compress)
         return self.pair
@@ -110,33 +128,27 @@ def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("good").alias("good"), F.max("good").alias("most")).where("good = most").drop("most")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, chunks_per_text: int = CHUNKS_PER_TEXT) -> Model:
-    """A model learned from a bounded sample of the labelled rows that aren't held out."""
-    spark = docs.sparkSession
-    ship(spark)
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_bytes: int) -> tuple[dict[int, int], DataFrame]:
+    """The number of labelled rows by class, and (good, text, later): the bounded sample of whole rows."""
     known = labelled(labels, id_col, label_col).withColumn("turn", F.xxhash64("doc_id"))
     counts = dict(known.groupBy("good").count().collect())
     chosen = [known.where(F.col("good") == k).orderBy("turn", "doc_id").limit(per_class) for k in (0, 1)]
-    sample = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "good", (F.pmod("turn", F.lit(3)) == 0).alias("later")))  # 2 * per_class rows at most
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(sample, "doc_id")
+    first = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_class rows at most
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(first, "doc_id")
+    texts = cut(texts.groupBy("doc_id", "good", "turn").agg(F.min("text").alias("text")))
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("good").orderBy("turn", "doc_id"))  # over those rows only
+    return counts, texts.withColumn("size", size).where(F.col("size") <= max_bytes).select("good", "text", (F.pmod("turn", F.lit(3)) == 0).alias("later"))
 
-    def parts(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            good, chunk = [], []
-            for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = (text.as_py() or "").encode()
-                starts = range(0, len(data), SAMPLE)
-                for k in sorted({len(starts) * i // chunks_per_text for i in range(chunks_per_text)}) if starts else ():
-                    good.append(g)
-                    chunk.append(data[starts[k] : starts[k] + SAMPLE])
-            yield pa.RecordBatch.from_pydict({"good": pa.array(good, pa.int32()), "chunk": pa.array(chunk, pa.binary())})
-
-    rows = sorted((r["good"], bytes(r["chunk"])) for r in texts.where("not later").select("good", "text").mapInArrow(parts, "good int, chunk binary").collect())
-    model = Model([c for g, c in rows if g == 1], [c for g, c in rows if g == 0])
-    if min(counts.get(0, 0), counts.get(1, 0)) < MIN_ROWS:
-        model.constant = counts.get(1, 0) / (counts.get(0, 0) + counts.get(1, 0)) if counts else 0.5
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
+    """A model learned from a bounded sample of the labelled rows that aren't held out."""
+    spark = docs.sparkSession
+    ship(spark)
+    counts, texts = sampled(docs, labels, id_col, text_col, label_col, per_class, max_bytes)
+    rows = sorted((r["good"], r["text"]) for r in texts.where("not later").select("good", "text").collect())  # 2 * max_bytes at most
+    model = Model([t for g, t in rows if g == 1], [t for g, t in rows if g == 0])
+    if not model.trained:
+        model.constant = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         return model
     held = spark.sparkContext.broadcast(model)
 

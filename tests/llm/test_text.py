@@ -157,6 +157,47 @@ def test_held_out_labels_teach_nothing(spark, sf_dir):
     assert a.dictionaries == b.dictionaries and np.array_equal(a.weights, b.weights)
 
 
+def plain_score(model, text):
+    """The score by its definition, chunk by chunk with a compressor of its own."""
+    import math
+
+    import zstandard
+
+    data = (text or "").encode()
+    sizes = []
+    for chunk in [data[i : i + 1024] for i in range(0, len(data), 1024)]:
+        both = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(chunk) for d in model.dictionaries]
+        sizes.append((len(both[0]) - len(both[1]), len(both[1]) - 12, len(chunk)))
+    gain, good, n = (sum(x[k] for x in sizes) for k in range(3))
+    mean = gain / (n + 40)
+    least = min((g / (c + 40) for g, _, c in sizes), default=0.0)
+    x = [1.0, mean, least, good / (n + 40) if sizes else 0.0, 100 / (n + 100), mean * abs(mean), gain / (n + 300)]
+    z = sum(v / s * w for v, s, w in zip(x, model.scale, model.weights, strict=True))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_scores_by_definition(spark, sf_dir, sf):
+    """Both dictionaries are trained at every size, and each score is what its definition says."""
+    folder = sf_dir.replace("sf0.001", sf)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert model.trained and all(d[:4] == bytes.fromhex("37a430ec") for d in model.dictionaries)  # the mark of a trained one
+    texts = [r.text for r in docs.orderBy("doc_id").limit(150).collect()] + [None, "", "x", "é" * 5000]
+    got = quality.with_scores(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), model, "text", "s").collect()
+    assert [r.s for r in sorted(got, key=lambda r: r.i)] == pytest.approx([plain_score(model, t) for t in texts], abs=1e-9)
+
+
+def test_quality_sample_takes_whole_rows(spark):
+    """Bounds fall between rows: texts are learned from whole or not at all, once per doc_id."""
+    docs = spark.createDataFrame([(i, "word " * 1000) for i in range(20)] + [(3, "a")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    counts, texts = quality.sampled(docs, labels, "doc_id", "text", "quality", 6, 12_000)
+    rows = texts.collect()
+    assert sum(counts.values()) >= len(rows) > 0 and all(len(r.text) in (1, 5000) for r in rows)
+    assert all(sum(len(r.text) for r in rows if r.good == k) <= 12_000 for k in (0, 1)) and sum(r.text == "a" for r in rows) <= 1
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit(edge_docs, none)
