@@ -7,32 +7,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.session import scratch as checkpoint_dir
+from lexmill.session import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when the scan has fewer splits than there are cores.
-
-    A table of many row groups passes unchanged, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+__all__ = ["checkpoint_dir", "cut", "fresh", "join_groups", "keys", "spread", "table"]
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; beside the warehouse only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return sc.getCheckpointDir()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)  # read from the session, set only where it is unset
     return df.checkpoint(eager=True)
 
 

@@ -82,7 +82,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_per_row: int = 8, max_filter_mb: int = 64) -> DataFrame:
     """The rows that stay, with all their columns; of equal texts the one with the smallest doc_id."""
-    a, b, flag, act = fresh(docs.columns, "k1", "k2", "maybe", "drop")
     k1, k2 = keys(id_col, text_col)
     hashes = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("sha"), k1.alias("k1"), k2.alias("k2")))
     n = hashes.count()
@@ -90,12 +89,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maybe = flag_repeats(hashes, "sha", repeated_cells(hashes, "sha", blocks), blocks, "maybe").where("maybe").drop("maybe")
     groups = maybe.groupBy("sha").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
     placed = join_groups(maybe, groups, "sha", "size", n).withColumn("drop", ~F.col("doc_id").eqNullSafe(F.col("keep")))
-    # what to do with a document that goes (drop), or that stays but comes several times; all others pass through
+    return keep_decided(docs, placed, id_col, text_col, cells_per_row, max_filter_mb)
+
+
+def keep_decided(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, cells_per_row: int = 8, max_filter_mb: int = 64) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    placed: (k1, k2, drop) for each row that may go, by a document's own key. Rows of one document are one decision and
+    stay once; documents that aren't listed pass straight through.
+    """
+    a, b, flag, act = fresh(docs.columns, "k1", "k2", "maybe", "drop")
+    k1, k2 = keys(id_col, text_col)
+    # what to do with a document that goes (drop), or that stays but comes several times
     decided = placed.groupBy("k1", "k2").agg(F.max("drop").alias("drop"), F.count(F.lit(1)).alias("n")).where("drop OR n > 1")
     decided = cut(decided.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("drop").alias(act)))
     blocks = n_blocks(decided.count(), 2 * cells_per_row, max_filter_mb)
     flagged = flag_repeats(docs.withColumns({a: k1, b: k2}), a, repeated_cells(decided, a, blocks, 1), blocks, flag)
-    hit = flagged.where(F.col(flag)).join(decided, [a, b], "left").where(~F.coalesce(F.col(act), F.lit(False))).dropDuplicates([a, b])
+    once = flagged.where(F.col(flag)).dropDuplicates([a, b])  # combines before its shuffle, so no key is hot in the join
+    hit = once.join(decided, [a, b], "left").where(~F.coalesce(F.col(act), F.lit(False)))
     own = [f"`{c}`" for c in docs.columns]
     return flagged.where(~F.col(flag)).select(own).unionByName(hit.select(own))
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexmill.llm import exact_dedup, line_dedup, registry, simhash
 from tests.llm.conftest import LONG, native
@@ -171,7 +172,9 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == brute_print(text)
 
 
-def test_simhash_against_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_simhash_against_brute_force(spark, sf_dir, sf):
+    sf_dir = sf_dir.replace("sf0.001", sf)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     prints = {i: brute_print(t) for i, t in docs.items()}
     groups = brute_groups(prints)
@@ -225,3 +228,53 @@ def test_simhash_of_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r.doc_id for r in rows if r.doc_id is not None and r.doc_id == r.component_id)
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.near_dedup(no_docs).count() == 0
+
+
+NEAR = " ".join(f"word{i}" for i in range(300))
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string", "decimal(20,0)"])
+def test_near_dedup_by_ids_of_any_type(spark, kind):
+    rows = [("3", NEAR), ("5", NEAR + " end"), ("7", "something else entirely is here"), ("9", NEAR), ("9", "an unrelated text with the same id"), (None, NEAR)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    digest = simhash.near_duplicates(docs)
+    assert dict(digest.dtypes)["component_id"] == dict(digest.dtypes)["doc_id"] == dict(docs.dtypes)["doc_id"]
+    kept = simhash.near_dedup(docs)
+    assert kept.dtypes == docs.dtypes
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", NEAR), ("7", rows[2][1]), ("9", rows[4][1])]
+
+
+def test_near_dedup_keeps_one_of_equal_ids(spark):
+    """Two texts of a group share its smallest id, and one of them comes twice."""
+    docs = spark.createDataFrame([(1, NEAR), (1, NEAR), (1, NEAR + " end"), (2, NEAR)], "doc_id long, text string")
+    assert simhash.near_dedup(docs).count() == 1
+    assert simhash.near_duplicates(docs).select("component_id").distinct().collect()[0][0] == 1
+
+
+def near_chain():
+    """Three texts of which only neighbours are near."""
+    r, value = random.Random(3), simhash.fingerprint(NEAR)
+    at = {value: NEAR}
+    while True:
+        words = NEAR.split()
+        for _ in range(r.randint(1, 12)):
+            words[r.randrange(300)] = f"other{r.randrange(10**6)}"
+        v = simhash.fingerprint(text := " ".join(words))
+        for a in at:
+            for b in at:
+                if (a ^ v).bit_count() <= 3 and (b ^ v).bit_count() <= 3 and (a ^ b).bit_count() > 3:
+                    return at[a], text, at[b]
+        at[v] = text
+
+
+def test_a_document_without_id_links_others(spark):
+    one, between, two = near_chain()
+    docs = spark.createDataFrame([(1, one), (None, between), (2, two), (None, "no id and alone")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {(1, 1), (None, 1), (2, 1), (None, None)}
+    assert sorted(r.text for r in simhash.near_dedup(docs).collect()) == sorted([one, "no id and alone"])
+
+
+def test_components_of_a_star_with_a_large_hub(spark):
+    edges = spark.range(1, 20_001).select(F.col("id").alias("hi"), F.lit(0).cast("long").alias("lo")).union(spark.range(1).select(F.lit(30_000), F.lit(20_000)))
+    rows = simhash.components(edges).collect()
+    assert len(rows) == 20_001 and {r.component for r in rows} == {0}
