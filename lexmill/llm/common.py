@@ -35,18 +35,19 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 HOT_GROUPS = 2000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:
     """rows joined to their groups, groups having a row per key and the number of its rows in `size`.
 
     Fewer than HOT_GROUPS groups can hold over n_rows / HOT_GROUPS rows each, so those are broadcast
-    whatever the table's size; the others are too small to make a task of the shuffle uneven.
+    whatever the table's size; the others are too small to make a task of the shuffle uneven. A left join
+    keeps rows without a group.
     """
     (hot_key,) = fresh(rows.columns + groups.columns, "hot")
     big = n_rows // HOT_GROUPS + 1
     hot = F.broadcast(groups.where(F.col(size) >= big).withColumnRenamed(key, hot_key))
     found = rows.join(hot, F.col(key).eqNullSafe(F.col(hot_key)), "left")
     first = found.where(F.col(hot_key).isNotNull()).drop(hot_key)
-    rest = found.where(F.col(hot_key).isNull()).select(rows.columns).join(groups.where(F.col(size) < big), key)
+    rest = found.where(F.col(hot_key).isNull()).select(rows.columns).join(groups.where(F.col(size) < big), key, how)
     return first.select(rest.columns).unionByName(rest)
 
 
