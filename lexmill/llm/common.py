@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.session import scratch as checkpoint_dir
 from lexmill.session import spread
 
-__all__ = ["checkpoint_dir", "cut", "fresh", "join_groups", "keys", "spread", "table"]
+__all__ = ["checkpoint_dir", "cut", "free_names", "fresh", "join_groups", "keys", "spread", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return [f"_{n}{tag}" for n in names]
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Names for result columns: as asked for, or with the first number from 2 on that the table doesn't have yet."""
+    taken = {c.lower() for c in columns}
+    return [next(x for k in range(1, len(taken) + 2) if (x := n if k == 1 else f"{n}_{k}").lower() not in taken) for n in names]
+
+
 #: A broadcast of hot groups has at most this many rows.
 HOT_GROUPS = 2000
 

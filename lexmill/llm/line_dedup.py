@@ -18,15 +18,16 @@ that a third of all documents have lands in no single task. Documents that lose
 Defined results: a null text stays null, an empty one empty, both with no line dropped; blank lines
 and lines of under `min_bytes` bytes and `min_tokens` tokens are never dropped; lines end at \\n, and what stays is joined
 by \\n; rows that agree in id and text are one document when documents are counted, and are treated
-alike; an empty table gives an empty result; other columns pass through whatever their names.
+alike; an empty table gives an empty result; other columns pass through whatever their names, and the two
+counts take the next free name where the table has theirs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, fresh, join_groups, keys, spread, table
+from lexmill.llm.common import cut, free_names, fresh, join_groups, keys, spread, table
 from lexmill.llm.exact_dedup import flag_repeats, n_blocks, repeated_cells
 
 MIN_DOCS, MIN_TOKENS, MIN_BYTES, DEPTH, SIMILARITY = 3, 3, 4, 3, 0.8
@@ -94,18 +95,12 @@ def templates(lines: DataFrame, min_docs: int, similarity: float, depth: int) ->
     often = often.select(F.xxhash64("leaf", "place", "token").alias("part"), "uses", "total")
     parts = parts.select("m1", "m2", "n", "words", F.xxhash64("leaf", "place", "token").alias("part"))
     kept = join_groups(parts, often, "part", "uses", n_lines)
-    lined = kept.groupBy("m1", "m2").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct("part", "total"))).alias("held"))  # at most a line's tokens
-    least = F.greatest(F.ceil(F.lit(similarity) * F.col("words") - 1e-9), F.lit(depth)).cast("int")
-    lined = lined.withColumn("least", least).where(F.size("held") >= F.col("least"))
-    # from each frequency on that leaves enough of them, the tokens are constant
-    totals = F.sort_array(F.transform("held", lambda x: x["total"]), asc=False)
-    steps = F.array_distinct(F.slice(totals, F.col("least"), F.size("held")))
-
-    def template(step: Column) -> Column:
-        constant = F.transform(F.filter("held", lambda x: x["total"] >= step), lambda x: x["part"])
-        return F.struct(F.xxhash64(F.lit(3), constant).alias("t1"), F.xxhash64(F.lit(4), constant).alias("t2"))
-
-    each = cut(lined.select("m1", "m2", "n", F.explode(F.transform(steps, template)).alias("t")).select("m1", "m2", "n", "t.t1", "t.t2"))
+    # from each frequency on that leaves enough of them, the tokens are constant; a window holds one line's tokens
+    upto = Window.partitionBy("m1", "m2").orderBy(F.desc("total"))
+    kept = kept.withColumn("held", F.count(F.lit(1)).over(upto)).withColumn("x", F.bit_xor("part").over(upto)).withColumn("y", F.bit_xor(F.xxhash64("part")).over(upto))
+    least = F.greatest(F.ceil(F.lit(similarity) * F.col("words") - 1e-9), F.lit(depth))
+    each = kept.where(F.col("held") >= least).select("m1", "m2", "n", F.xxhash64(F.lit(3), "held", "x").alias("t1"), F.xxhash64(F.lit(4), "held", "y").alias("t2"))
+    each = cut(each.dropDuplicates(["m1", "m2", "t1", "t2"]))
     # what only one line has, it has as itself
     shared = each.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("uses"), F.sum("n").alias("rows")).where((F.col("uses") > 1) & (F.col("rows") >= min_docs))
     shared = join_groups(each, shared.select("t1", F.col("t2").alias("other"), "uses"), "t1", "uses", n_lines).where("t2 = other")
@@ -123,15 +118,24 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, si
     known = cut(templates(maybe.select("leaf", "line"), min_docs, similarity, depth))
     narrow = maybe.select("k1", "k2", "at", F.xxhash64(F.lit(1), "line").alias("m1"), F.xxhash64(F.lit(2), "line").alias("m2"))
     of = known.withColumnRenamed("m2", "other")
-    placed = join_groups(narrow, of, "m1", "n", narrow.count()).where("m2 = other").select("k1", "k2", "at", F.explode("ts").alias("t")).select("k1", "k2", "at", "t.t1", "t.t2")
+    placed = join_groups(narrow, of, "m1", "n", narrow.count()).where("m2 = other").select("k1", "k2", "at", F.explode("ts").alias("t"))
+    placed = cut(placed.select("k1", "k2", "at", "t.t1", "t.t2"))
     recurring = placed.groupBy("t1", "t2").agg(F.count_distinct("k1", "k2").alias("docs"), F.count(F.lit(1)).alias("n")).where(F.col("docs") >= min_docs)
     recurring = recurring.select("t1", F.col("t2").alias("other"), "n")
     gone = join_groups(placed, recurring, "t1", "n", narrow.count()).where("t2 = other")
     return gone.groupBy("k1", "k2").agg(F.collect_set("at").alias("drops"))  # at most a document's lines
 
 
+def without(lines: Column, gone: str) -> Column:
+    """The elements of an array but those at the places that another one lists: the stretches between these, in one walk."""
+    at = F.sort_array(gone)
+    before, after = F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(lines)))
+    # a lambda of one array holds the lines, which so are split once
+    return F.transform(F.array(lines), lambda xs: F.flatten(F.zip_with(before, after, lambda a, b: F.slice(xs, a + 2, b - a - 1))))[0]
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """docs with the text that stays, and n_lines and n_dropped."""
+    """docs with the text that stays, and n_lines and n_dropped (n_lines_2 and so on where docs has such columns)."""
     a, b, flag, gone = fresh(docs.columns, "k1", "k2", "maybe", "drops")
     drops = cut(dropped_lines(docs, id_col, text_col, min_docs, similarity, depth, min_tokens, min_bytes))
     blocks = n_blocks(drops.count(), 16, FILTER_MB)
@@ -141,11 +145,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = flagged.where(F.col(flag)).join(drops.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("drops").alias(gone)), [a, b], "left").drop(flag)
     same = flagged.where(~F.col(flag)).drop(flag).withColumn(gone, F.lit(None).cast("array<int>"))
     text, lines = F.col(f"`{text_col}`"), F.split(F.col(f"`{text_col}`"), "\n", -1)
-    stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    stays = F.array_join(without(lines, gone), "\n")
     out = same.unionByName(lost.select(same.columns))
     columns = [F.when(F.col(gone).isNull(), text).otherwise(stays).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     n = F.when(text.isNull(), 0).otherwise(F.size(lines))
-    return out.select(*columns, n.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
+    n_lines, n_dropped = free_names(docs.columns, "n_lines", "n_dropped")
+    return out.select(*columns, n.cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_dropped))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,82 @@ def test_line_counts_against_brute_force(spark, sf_dir):
         assert not must.intersection(kept) and r.n_lines == len(docs[r.doc_id].split("\n")) == len(kept) + r.n_dropped
 
 
+def brute_templates(texts, min_docs=3, similarity=0.8, depth=3):
+    """The places of the lines that go, by document: each leaf's templates, tried one by one."""
+    field = lambda t: bool(re.search("[0-9@]", t))
+    placed = []  # (document, place, leaf, tokens)
+    for doc, text in enumerate(texts):
+        for at, raw in enumerate((text or "").split("\n")):
+            tokens = [t for t in re.split(r"[\x09\x0b-\x0d ]+", raw) if t]
+            if not tokens or (len(tokens) < 3 and len(" ".join(tokens).encode()) < 4):
+                continue
+            constant = [t for t in tokens if not field(t)]
+            plain = any(map(field, tokens)) and len(constant) < depth and not any(c.isalpha() for t in constant for c in t)
+            shape = tuple(tokens) if plain else tuple("<*>" if field(t) else t for t in tokens)
+            placed.append((doc, at, (len(tokens), shape if plain else shape[:depth]), shape))
+    leaves, docs_of = defaultdict(Counter), defaultdict(set)
+    for _, _, leaf, shape in placed:
+        leaves[leaf][shape] += 1
+    of = defaultdict(set)
+    for leaf, shapes in leaves.items():
+        often = Counter()
+        for shape, n in shapes.items():
+            for part in enumerate(shape):
+                often[part] += n
+        for shape, n in shapes.items():
+            of[leaf, shape].add(shape)
+            parts = [p for p in enumerate(shape) if p[1] != "<*>"]
+            for least in {often[p] for p in parts if often[p] >= min_docs} if len(shapes) > 1 else ():
+                held = frozenset(p for p in parts if often[p] >= least)
+                if len(held) >= max(depth, similarity * len(parts) - 1e-9):
+                    of[leaf, shape].add(held)
+    uses = Counter(t for ts in of.values() for t in ts if isinstance(t, frozenset))
+    for doc, _, leaf, shape in placed:
+        for t in of[leaf, shape]:
+            docs_of[leaf, t].add(doc)
+    gone = defaultdict(set)
+    for doc, at, leaf, shape in placed:
+        if any(len(docs_of[leaf, t]) >= min_docs and uses.get(t, 2) > 1 for t in of[leaf, shape]):
+            gone[doc].add(at)
+    return gone
+
+
+def test_templates_against_brute_force(spark, sf_dir):
+    """Exactly the lines of recurring templates go, on the given documents and on made-up ones."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(2))
+    made = []
+    for k in range(60):
+        rows = [f"the {word()} of {word()} was seen by {r.choice('xyz')} near the {word()} at {r.randint(1, 9)}" for _ in range(2)]
+        rows += [f"{r.randint(0, 3)} {r.randint(0, 3)}", r.choice(["Home", "Read more", "a b", f"Page {k}", f"| {k % 4} |"]), " ".join(r.choice("abc") for _ in range(r.randint(3, 12)))]
+        rows += [f"from here on all lines say {word()} and {word()} but end alike as they were made for it by {r.choice('pq')}\t{k}"]
+        made.append("\n".join(rows))
+    given = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    for texts in (made, given):
+        gone = brute_templates(texts)
+        want = ["\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone[i]) for i, t in enumerate(texts)]
+        assert any(gone.values()) and lines(spark, *texts) == want
+
+
+def test_long_lines_and_many_lines_in_bounded_time(spark):
+    """A line of a million words in three documents, twice with fields of its own; and documents whose 100,000 lines all go."""
+    import time
+
+    began = time.monotonic()
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(1_000_000)]
+    long = [" ".join(words[:k] + [f"own{w}"] + words[k + 1 :]) for k, w in ((500, "a"), (600, "b"), (700, "c"))]
+    assert lines(spark, *(f"{x}\nmine {w}" for x, w in zip(long, "abc", strict=True))) == ["mine a", "mine b", "mine c"]
+    many = "\n".join(f"{words[i]} line {words[-i - 1]} {words[i // 676]}" for i in range(100_000))
+    assert lines(spark, *(f"{many}\nmine {w}" for w in "abc")) == ["mine a", "mine b", "mine c"]
+    assert time.monotonic() - began < 150
+
+
+def test_result_columns_that_the_table_has(spark):
+    df = spark.createDataFrame([(1, "a", 7, 8)], "doc_id long, text string, n_lines int, N_DROPPED int")
+    out = line_dedup.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "N_DROPPED", "n_lines_2", "n_dropped_2"] and out.first()[2:] == (7, 8, 1, 0)
+
+
 def test_lines_of_edges(edge_docs, no_docs):
     found = line_dedup.line_dedup(edge_docs)
     assert native(found) and found.columns == [*edge_docs.columns, "n_lines", "n_dropped"]
