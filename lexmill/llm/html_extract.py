@@ -9,47 +9,41 @@ at first use, on made-up pages from a fixed seed, and broadcast; its size is fix
 The main text is the blocks labelled so, in page order, joined by an empty line.
 
 Defined results: a null or empty page, or one without main text, gives an empty text; a page of any
-length is read whole; rows with null or repeated ids return as often as they come; an empty table
+length is read whole, in time proportional to it; ids keep their type; rows with null or repeated ids return as often as they come; an empty table
 gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.common import spread, table
-from lexmill.llm.html_blocks import Block, blocks_of
+from lexmill.llm.html_blocks import NAME_DIMS, TAG_DIMS, Block, Path, blocks_of, hashed
 from lexmill.llm.html_pages import pages
 from lexmill.session import ship
 
-TAG_DIMS, NAME_DIMS, PARENT_DIMS, WORD_DIMS, SHAPE_DIMS = 48, 128, 48, 48, 10
+PARENT_DIMS, WORD_DIMS, SHAPE_DIMS = 48, 48, 10
 DIMS = TAG_DIMS + NAME_DIMS + PARENT_DIMS + WORD_DIMS + SHAPE_DIMS
 HIDDEN, SEED = 20, 7
 TRAIN_PAGES, EPOCHS, BATCH, RATE = 3000, 8, 50, 0.01
-#: Blocks (padding counted) that are labelled at once.
+#: Blocks (padding counted) that are labelled at once; a longer page is read in stretches that hand on their states.
 MOST = 20_000
 _TERMS = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s]")
 
 
-def _hashed(tokens: Iterable[str], dims: int) -> list[int]:
-    return [crc32(t.encode()) % dims for t in tokens]
-
-
-def path_vector(path: tuple) -> np.ndarray:
+def path_vector(path: Path) -> np.ndarray:
     """The part of a block's vector that its tag path gives; blocks of a page share few paths."""
     v = np.zeros(TAG_DIMS + NAME_DIMS + PARENT_DIMS, np.float32)
-    v[_hashed((t for t, _ in path), TAG_DIMS)] = 1
-    v[[TAG_DIMS + i for i in _hashed((n for _, names in path for n in names), NAME_DIMS)]] = 1
-    if path:
-        tag, names = path[-1]
-        v[[TAG_DIMS + NAME_DIMS + i for i in _hashed((f"<{tag}", *(f".{n}" for n in names)), PARENT_DIMS)]] = 1
+    v[[i for i in range(TAG_DIMS) if path.tags >> i & 1]] = 1
+    v[[TAG_DIMS + i for i in range(NAME_DIMS) if path.names >> i & 1]] = 1
+    if path.tag:
+        v[[TAG_DIMS + NAME_DIMS + hashed(t, PARENT_DIMS) for t in (f"<{path.tag}", *(f".{n}" for n in path.own))]] = 1
     return v
 
 
@@ -57,7 +51,7 @@ def text_vector(block: Block, place: float, n: int) -> np.ndarray:
     text, v = block.text, np.zeros(WORD_DIMS + SHAPE_DIMS, np.float32)
     terms = _TERMS.findall(text.lower())
     if terms:
-        at, count = np.unique(_hashed(terms, WORD_DIMS), return_counts=True)
+        at, count = np.unique([hashed(t, WORD_DIMS) for t in terms], return_counts=True)
         v[at] = np.log1p(count) / np.log1p(len(terms))
     size = len(text)
     v[WORD_DIMS:] = (
@@ -67,7 +61,9 @@ def text_vector(block: Block, place: float, n: int) -> np.ndarray:
     return v
 
 
-def vectors(blocks: list[Block], seen: dict | None = None) -> np.ndarray:
+def vectors(blocks: list[Block], seen: dict | None = None, before: int = 0, n: int | None = None) -> np.ndarray:
+    """A vector per block of a page, or of a stretch of it that has so many blocks before it, of n."""
+    n = len(blocks) if n is None else n
     seen = {} if seen is None else seen
     out = np.empty((len(blocks), DIMS), np.float32)
     for i, b in enumerate(blocks):
@@ -76,7 +72,7 @@ def vectors(blocks: list[Block], seen: dict | None = None) -> np.ndarray:
                 seen.clear()
             p = seen[b.path] = path_vector(b.path)
         out[i, : len(p)] = p
-        out[i, len(p) :] = text_vector(b, (i + 0.5) / len(blocks), len(blocks))
+        out[i, len(p) :] = text_vector(b, (before + i + 0.5) / n, n)
     return out
 
 
@@ -93,11 +89,14 @@ class Lstm:
         self.b = np.zeros(4 * HIDDEN, np.float32)
         self.b[HIDDEN : 2 * HIDDEN] = 1
 
-    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """States (time, page, HIDDEN) of x (time, page, DIMS); a masked step leaves the state as it was."""
+    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False, state: list | None = None):
+        """States (time, page, HIDDEN) of x (time, page, DIMS); a masked step leaves the state as it was.
+
+        state: what a stretch before this one left, replaced by what this one leaves.
+        """
         steps, n, _ = x.shape
         z = x @ self.w + self.b
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, held = np.empty((steps, n, HIDDEN), np.float32), []
         for t in range(steps):
             a = z[t] + h @ self.u
@@ -110,6 +109,8 @@ class Lstm:
             c = m * new + (1 - m) * c
             h = m * (o * tc) + (1 - m) * h
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out, held
 
     def back(self, x: np.ndarray, mask: np.ndarray, held: list, dout: np.ndarray):
@@ -156,6 +157,18 @@ class Labeller:
         p = _sigmoid(ahead @ self.v[:HIDDEN] + back[::-1] @ self.v[HIDDEN:] + self.c)
         return [p[: len(v), k] for k, v in enumerate(xs)]
 
+    def chances_of_long(self, blocks: list[Block], seen: dict | None = None, stretch: int = MOST) -> np.ndarray:
+        """The same for one page of any length, in stretches: only a number per block is held besides the blocks."""
+        n, z = len(blocks), np.zeros(len(blocks), np.float32)
+        starts = range(0, n, stretch)
+        for way, order, v in ((0, starts, self.v[:HIDDEN]), (1, reversed(starts), self.v[HIDDEN:])):
+            state: list = []
+            for a in order:
+                x = vectors(blocks[a : a + stretch], seen, a, n)[:: -1 if way else 1, None]
+                out, _ = self.ways[way].run(x, np.ones(x.shape[:2], np.float32), state=state)
+                z[a : a + stretch] += (out[:, 0] @ v)[:: -1 if way else 1]
+        return _sigmoid(z + self.c)
+
     def parameters(self) -> list[np.ndarray]:
         return [p for w in self.ways for p in (w.w, w.u, w.b)] + [self.v, self.c]
 
@@ -222,7 +235,11 @@ def main_texts(htmls: list[str | None], model: Labeller, seen: dict | None = Non
         while take < len(order) and take < 512 and len(read[order[take]]) * (take + 1) <= max(MOST, n):
             take += 1
         group, order = order[:take], order[take:]
-        for k, p in zip(group, model.chances([vectors(read[k], seen) for k in group]), strict=True):
+        if n > MOST:
+            found = [model.chances_of_long(read[k], seen) for k in group]
+        else:
+            found = model.chances([vectors(read[k], seen) for k in group])
+        for k, p in zip(group, found, strict=True):
             out[k] = "\n\n".join(b.text for b, chance in zip(read[k], p, strict=True) if chance >= 0.5)
     return out
 
@@ -243,8 +260,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = main_texts(part.column(2).to_pylist(), held.value, seen)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    chosen = pages.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    chosen = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string"))
+    schema = T.StructType([*chosen.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return chosen.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,38 @@ def test_extract_edges(spark):
     assert html_extract.extract(df.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a href='", '<a "', "<!", "<div", "<b>", "<b></i>", "</section>", "<script ", "&amp", "<p class=x>y", "<a '\"", "<i><div>", "</i>", "class "])
+def test_reader_takes_linear_time(part):
+    """Pages of a million repeats of one part, after a stack of open elements."""
+    import time
+
+    began = time.monotonic()
+    html_blocks.blocks_of("<i>" + "<div>" * 1000 + "<b>" * 1000 + part * 1_000_000 + ' " >')
+    assert time.monotonic() - began < 60
+
+
+def test_nested_and_many_blocks_in_bounded_time():
+    import time
+
+    began, model = time.monotonic(), html_extract.labeller()
+    blocks = html_blocks.blocks_of("<div>x" * 50_000)
+    assert len(blocks) == 50_000 and len({b.path for b in blocks}) <= 2
+    assert len(html_extract.main_texts(["<div>x" * 50_000], model)) == 1
+    assert time.monotonic() - began < 120
+
+
+def test_long_pages_in_stretches():
+    model, blocks = html_extract.labeller(), html_blocks.blocks_of(PAGE * 3)
+    whole = model.chances([html_extract.vectors(blocks)])[0]
+    for stretch in (1, 4, 7, 1000):
+        assert model.chances_of_long(blocks, stretch=stretch) == pytest.approx(whole, abs=1e-5)
+
+
+def test_extract_ids_of_any_type(spark):
+    df = spark.createDataFrame([("p1", PAGE)], "page_id string, html string").withColumn("url", F.lit("u"))
+    assert html_extract.extract(df).first().page_id == "p1"
+
+
 def test_pages_have_their_articles(spark, sf_dir):
     import html as H
     import re
