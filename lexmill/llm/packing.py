@@ -13,7 +13,7 @@ by their rank among the pieces of equal length: the rank within the task that ma
 counts of the tasks before it. No key gathers the pieces of a length in one task.
 
 Defined results: a null or empty text is the end id alone; a row with a null doc_id is packed like
-any other; repeated rows are packed once each; an empty table packs into nothing; other columns of
+any other, ids keep their type; repeated rows are packed once each; an empty table packs into nothing; other columns of
 the input are not read.
 """
 
@@ -25,6 +25,7 @@ from bisect import bisect_left, insort
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.common import cut, spread, table
 from lexmill.session import ship
@@ -235,11 +236,10 @@ def cut_pieces(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
     return [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for s in range(0, n, capacity)]
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-
-
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str | None) -> DataFrame:
     end = END_ID.to_bytes(4, "little")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`"))
+    schema = T.StructType([rows.schema.fields[0], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long, part int, nth long").fields])
 
     def run(batches):
         import pyarrow as pa
@@ -248,16 +248,17 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
         ids, part, seen = ids_of(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text in enumerate(batch.column(1)):
                 for k, (start, length, crc) in enumerate(cut_pieces(ids(text.as_py()) + end, capacity)):
                     rows.append((doc, k, start, length, crc, part, seen[length]))
                     seen[length] += 1
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            at, *rest = (pa.array(c, t) for c, t in zip(columns, types, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *rest], names)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, PIECES)
+    return rows.mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -274,12 +275,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     first = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     ranked = made.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
 
+    out = ranked.withColumnRenamed("rank", "sequence_id").withColumn("offset", F.col("sequence_id"))
+
     def place(batches):
-        for pdf in batches:
-            sequence, offset = slots.value.place(pdf["length"].to_numpy(), pdf["rank"].to_numpy())
-            yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+        import pyarrow as pa
+
+        for batch in batches:
+            sequence, offset = slots.value.place(batch.column(3).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], batch.schema.names)
 
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.mapInArrow(place, out.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

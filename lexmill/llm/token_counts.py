@@ -7,10 +7,11 @@ counts pre-tokens within each document. The pre-tokens that the corpus has most
 frequencies join the piece counts by a shuffle. Neither side of that join grows a hot key, since any
 pre-token common enough to be one is in the head.
 
-Defined results: a null or empty text has no bytes and no tokens; a text that only the library may
-cut (special strings, letters beyond the Latin ranges) is counted by it whole; rows with a null or a
-repeated doc_id return as often as they come; an empty table gives an empty result; other columns
-are not read.
+Documents are known by a key of their id, text and partition, so a task that runs again numbers them alike.
+
+Defined results: a null or empty text has no bytes and no tokens; special strings are one token each, as
+the library's default has it; ids keep their type; rows with a null or a repeated doc_id return as often as they come; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.common import cut, spread, table
 from lexmill.session import ship
@@ -30,21 +32,21 @@ MAX_HEAD = 1 << 18
 FLUSH = 400_000
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
+def vocabulary(docs: DataFrame, text_col: str, path: str | None) -> DataFrame:
     """(word, n): how often each pre-token occurs in the corpus."""
 
     def run(batches):
         import pyarrow as pa
 
-        from lexmill.llm.pretokens import pre_tokens
+        from lexmill.llm.pretokens import cutter
 
         def rows(seen):
             return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-        seen: Counter = Counter()
+        seen, words = Counter(), cutter(path).words
         for batch in batches:
             for text in batch.column(0):
-                seen.update(pre_tokens(text.as_py() or "") or ())
+                seen.update(words(text.as_py() or ""))
                 if len(seen) > FLUSH:
                     yield rows(seen)
                     seen.clear()
@@ -59,11 +61,11 @@ def piece_counts(words: DataFrame, path: str | None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from lexmill.llm.pretokens import tokenizer
+        from lexmill.llm.pretokens import cutter
 
-        encode = tokenizer(path).encode
+        ids = cutter(path).ids
         for batch in batches:
-            pieces = [len(encode(w, add_special_tokens=False)) for w in batch.column(0).to_pylist()]
+            pieces = [len(ids(w)) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], ["word", "n", "pieces"])
 
     return words.mapInArrow(run, "word string, n long, pieces long")
@@ -79,52 +81,60 @@ def head_of(counted: DataFrame, most: int) -> tuple[int, dict[str, int]]:
 
 
 def frequencies(docs: DataFrame, id_col: str, text_col: str, head, path: str | None) -> DataFrame:
-    """A row per document (key of its own, n_bytes, tokens of head pre-tokens) and one per further pre-token of it (key, freq)."""
+    """A row per further pre-token of each document (its key, freq), the first of which has the document's id, n_bytes and tokens of head pre-tokens.
+
+    A document without further pre-tokens has one row, with a word of its own, so that such rows make no hot key.
+    """
+    parts = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.spark_partition_id()
+    rows = docs.select(F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *parts).alias("k2"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`"))
+    longs = [T.StructField(n, T.LongType()) for n in ("n_bytes", "tokens", "freq")]
+    schema = T.StructType([*rows.schema.fields[:3], *longs, T.StructField("word", T.StringType())])
+    for f in schema.fields:
+        f.nullable = True
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        from pyspark import TaskContext
 
-        from lexmill.llm.packing import ids_of
-        from lexmill.llm.pretokens import pre_tokens
+        from lexmill.llm.pretokens import cutter
 
-        pieces, row = head.value, TaskContext.get().partitionId() << 40
+        pieces, words = head.value, cutter(path).words
         for batch in batches:
-            texts = batch.column(1)
-            n_bytes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text, size in zip(batch.column(0).to_pylist(), texts, n_bytes, strict=True):
-                words, tokens = pre_tokens(text.as_py() or ""), 0
-                if words is None:
-                    tokens = len(ids_of(path)(text.as_py())) // 4
-                else:
-                    for word, n in Counter(words).items():
-                        if (p := pieces.get(word)) is not None:
-                            tokens += n * p
-                        else:
-                            for column, x in zip(out, (row, None, None, None, word, n), strict=True):
-                                column.append(x)
-                for column, x in zip(out, (row, doc, size, tokens, f"\x00{row}", None), strict=True):
-                    column.append(x)
-                row += 1
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["row", "doc_id", "n_bytes", "tokens", "word", "freq"])
-
-    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, "row long, doc_id long, n_bytes long, tokens long, word string, freq long")
+            texts, at = batch.column(3), []
+            n_bytes, tokens, freq, word = [], [], [], []
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for k, (text, size) in enumerate(zip(texts, sizes, strict=True)):
+                known, rest = 0, []
+                for w, n in Counter(words(text.as_py() or "")).items():
+                    if (p := pieces.get(w)) is not None:
+                        known += n * p
+                    else:
+                        rest.append((w, n))
+                rest = rest or [(f"\x00{batch.column(0)[k].as_py()}", 0)]
+                at += [k] * len(rest)
+                n_bytes += [size, *[None] * (len(rest) - 1)]
+                tokens += [known, *[None] * (len(rest) - 1)]
+                word += [w for w, _ in rest]
+                freq += [n for _, n in rest]
+            own = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.int64()) for c in (n_bytes, tokens, freq)), pa.array(word, pa.string())], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, path: str | None = None, max_head: int = MAX_HEAD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     spark = docs.sparkSession
     ship(spark)
-    counted = cut(piece_counts(vocabulary(docs, text_col), path))
+    counted = cut(piece_counts(vocabulary(docs, text_col, path), path))
     least, head = head_of(counted, max_head)
     rows = frequencies(docs, id_col, text_col, spark.sparkContext.broadcast(head), path)
     joined = rows.join(counted.where(F.col("n") < least).select("word", "pieces"), "word", "left")
-    tokens = F.sum(F.coalesce(F.col("tokens"), F.col("freq") * F.col("pieces")))
-    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), tokens.alias("n_tokens"))
-    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    tokens = F.sum(F.coalesce("tokens", F.lit(0)) + F.coalesce(F.col("freq") * F.col("pieces"), F.lit(0)))
+    sums = joined.groupBy("k1", "k2", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), tokens.alias("total"), F.count("n_bytes").alias("times"))
+    each = sums.withColumn("_", F.explode(F.sequence(F.lit(1), "times")))  # equal rows of one partition share a key
+    n_tokens = F.expr("total div times")
+    return each.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,8 +244,11 @@ def test_quality_edges(spark, edge_docs, no_docs):
 # --- tokens ---------------------------------------------------------------------------------------
 
 
+TOOL = pretokens.tokenizer()
+
+
 def library(text):
-    return pretokens.tokenizer().encode(text or "", add_special_tokens=False).ids
+    return TOOL.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("head", [1 << 18, 50, 0])
@@ -261,13 +264,31 @@ def test_token_counts_of_nothing(no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
 
 
+SCRIPTS = [(0, 0x250), (0x300, 0x36F), (0x370, 0x52F), (0x590, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x1100, 0x11FF), (0x1E00, 0x1FFF), (0x2000, 0x2BFF), (0x3040, 0x30FF), (0x4E00, 0x4EFF), (0xAC00, 0xACFF), (0xFB00, 0xFFFD), (0x1D400, 0x1D4FF), (0x1F300, 0x1F6FF)]
+
+
 def test_pieces_equal_the_library():
     r, tool = random.Random(6), pretokens.tokenizer()
-    chars = [chr(c) for c in range(0x250)] + [*"“”–—…€ΣσςΑ中́​﻿\U0001f600", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "'Ve", "  ", "\r\n"]
+    odd = [*"“”–—…€ΣσςΑİ中́​﻿\U0001f600", "<|endoftext|>", "<|startoftext|>", "<|", "'s", "'LL", "'Ve", "  ", "\r\n", " ", "\x85"]
     pieces = pretokens.Pieces(most=50)
-    for _ in range(3000):
-        text = "".join(r.choice(chars) for _ in range(r.randint(0, 12)))
-        assert pieces.ids(text) == array("I", tool.encode(text, add_special_tokens=False).ids).tobytes()
+    for _ in range(6000):
+        chars = [chr(r.randint(*r.choice(SCRIPTS))) for _ in range(6)] + r.sample(odd, 6)
+        text = "".join(r.choice(chars) for _ in range(r.randint(0, 14)))
+        assert pieces.ids(text) == array("I", tool.encode(text, add_special_tokens=False).ids).tobytes(), repr(text)
+
+
+def test_every_character_is_cut_as_by_the_library():
+    """Each code point between Latin letters, a digit, a mark and spaces: all pre-tokens, composition and case."""
+    tool, pieces = pretokens.tokenizer(), pretokens.Pieces()
+    for a in range(0, 0x20000, 64):
+        text = " ".join(f"x{chr(c)}y 1{chr(c)} {chr(c)}!" for c in range(a, a + 64) if not 0xD800 <= c < 0xE000)
+        assert pieces.ids(text) == array("I", tool.encode(text, add_special_tokens=False).ids).tobytes(), hex(a)
+
+
+def test_token_counts_by_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "one two"), ("a", "one two"), (None, "é"), ("b", None)], "doc_id string, text string")
+    rows = token_counts.token_counts(df, max_head=0).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("None", 1), ("a", 2), ("a", 2), ("b", 0)]
 
 
 # --- licences -------------------------------------------------------------------------------------
