@@ -11,14 +11,15 @@ template that the text has around it are counted exactly, and SIMILARITY of them
 Documents stream past the templates, which are a fixed list, and are never shuffled.
 
 Defined results: a null or empty text has no match; matches of one licence that overlap are one;
-templates without words match nothing; rows with a null or repeated id return as often as they come;
+templates without words match nothing; templates of over MOST_WORDS words together are an error; rows with a null or repeated id return as often as they come;
 an empty table gives an empty result; columns of other names pass through unread.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ from lexmill.session import ship
 
 SHINGLE, SIMILARITY, WINDOW, STEP = 5, 0.8, 4, 2
 MISS, SEED = 1e-4, 11
+#: Words that all templates may have together, since they are broadcast; some 400 MB in a worker.
+MOST_WORDS = 1_000_000
 #: Words that are hashed at once.
 CHUNK = 400_000
 
@@ -195,22 +198,45 @@ class Finder:
         return found
 
     def matches(self, t: int, places: list[int], words: list[bytes], start: int, end: int) -> list[tuple[str, float, int, int]]:
-        """Verified matches of a template in words[start:end], whose windows at `places` retrieved it."""
-        shingles, n, w, out, done = self.shingles[t], len(self.templates[t][1]), self.width, [], start
-        for p in places:
-            if p + w + WINDOW <= done:
+        """Verified matches of a template in words[start:end], whose windows at the sorted `places` retrieved it.
+
+        From the left, the first stretch of the template's length that has enough of its shingles, moved on to the
+        best one that begins within it. What surrounds several places is read once.
+        """
+        n, w, out, a = len(self.templates[t][1]), self.width, [], start
+        k = 0
+        while k < len(places):
+            a, z = max(a, places[k] - n), 0
+            while k < len(places) and places[k] - n <= max(z, a):
+                z = min(end, places[k] + w + WINDOW + 2 * n)
+                k += 1
+            out += self.verified(t, [(i, s) for i in range(a, z - w + 1) if (s := tuple(words[i : i + w])) in self.shingles[t]], start)
+            a = z
+        return out
+
+    def verified(self, t: int, held: list[tuple[int, tuple]], start: int) -> list[tuple[str, float, int, int]]:
+        """Matches among the shingles (place, shingle) of a stretch; each is counted in and out of a moving window once."""
+        n, size = len(self.templates[t][1]), len(self.shingles[t])
+        counts: Counter = Counter()
+        distinct, last, r = [], [], 0
+        for i, s in held:
+            while r < len(held) and held[r][0] - i < n:
+                counts[held[r][1]] += 1
+                r += 1
+            distinct.append(len(counts))
+            last.append(r - 1)
+            counts[s] -= 1
+            if not counts[s]:
+                del counts[s]
+        out, k = [], 0
+        while k < len(held):
+            if distinct[k] < SIMILARITY * size:
+                k += 1
                 continue
-            a, z = max(done, p - n), min(end, p + w + WINDOW + 2 * n)
-            held = [(i, s) for i in range(a, z - w + 1) if (s := tuple(words[i : i + w])) in shingles]
-            best: list = []
-            for k, (i, _) in enumerate(held):  # from each shingle, what the length of a template holds
-                near = [x for x in held[k:] if x[0] - i < n]
-                if len({s for _, s in near}) > len({s for _, s in best}):
-                    best = near
-            share = len({s for _, s in best}) / len(shingles)
-            if share >= SIMILARITY:
-                first, done = best[0][0], best[-1][0] + w
-                out.append((self.templates[t][0], share, first - start, done - start))
+            best = max(range(k, last[k] + 1), key=lambda j: (distinct[j], -j))
+            first, done = held[best][0], held[last[best]][0] + self.width
+            out.append((self.templates[t][0], distinct[best] / size, first - start, done - start))
+            k = bisect_left(held, (done,), best)
         return out
 
 
@@ -221,6 +247,8 @@ def finders(templates: dict[str, list[str]], miss: float = MISS) -> list[Finder]
         for words in map(words_of, texts):
             if words:
                 by_width[min(SHINGLE, len(words))].append((name, words))
+    if (n := sum(len(words) for group in by_width.values() for _, words in group)) > MOST_WORDS:
+        raise ValueError(f"templates of {n} words are too many for a broadcast; scan with parts of at most {MOST_WORDS} words")
     bands = math.ceil(math.log(miss) / math.log(1 - 1 / WINDOW))
     seen = Words()
     return [Finder(group, width, bands, seen) for width, group in sorted(by_width.items())]

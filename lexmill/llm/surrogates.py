@@ -1,15 +1,16 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions alone.
 
 Detected: e-mail addresses, phone numbers, payment cards, social security numbers, IBANs, IPv4, IPv6
-and MAC addresses, access keys, passwords and tokens that are assigned, and names after a title or
+and MAC addresses, access keys, signed web tokens, private keys in PEM form, passwords and tokens that are assigned, and names after a title or
 beginning with a known given name. Every distinct entity of the corpus gets one surrogate, derived
 from a secret key, so all its mentions stay alike in every document (coreference); spellings of one
 entity (separators of a number, case of an address, a surname alone or with its given name) share
 it. A surrogate keeps type and format: digits stay digits, letters letters of their script and case,
-separators stay; country codes, card brands, valid check digits, octet ranges and the last label
-of a domain are kept; given names keep their gender and script. A name runs over initials, particles
+separators stay; country codes, the card brand's leading digits, valid check digits of cards and IBANs, the ranges of octets and of the parts of a
+social security number, markers of keys and the last label of a domain are kept; given names keep their gender and script. A name runs over initials, particles
 and any further capitalised parts, the last of which is the surname; particles stay, initials become
-other letters, which need not be distinct.
+other letters, which need not be distinct. Dates of birth are no entities: the calendar has too few days for
+distinct surrogates in a large corpus.
 
 Distinctness is checked over the whole corpus: a candidate that equals an entity of the corpus, or a
 surrogate already given, or that two entities would share, is drawn again with the next number of the
@@ -18,7 +19,7 @@ joins its surrogate, hot entities by a bounded broadcast.
 
 Defined results: a null text stays null and an empty one empty, both with no entity; rows that agree
 in id and text are treated alike; an empty table gives an empty result; other columns pass through
-whatever their names. A name with neither a title nor a known given name is not detected.
+whatever their names, and the count takes the next free name where the table has n_entities. A name with neither a title nor a known given name is not detected.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, fresh, join_groups, keys, spread, table
+from lexmill.llm.common import cut, free_names, fresh, join_groups, keys, spread, table
 from lexmill.llm.exact_dedup import flag_repeats, n_blocks, repeated_cells
 from lexmill.llm.line_dedup import FILTER_MB
 
@@ -55,6 +56,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Forms that tell their type by themselves, in the order in which they are tried.
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{16,16000}+-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{5,8000}+\.[A-Za-z0-9_-]{5,8000}+\.[A-Za-z0-9_-]{5,2000}",
     "access": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",
     "ipv6": rf"(?={_HEX}:)(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,39}}[0-9])(?:(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:))",
@@ -64,7 +67,7 @@ FORMS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4} [0-9]{5,8}|0[0-9]{1,4}(?: [0-9]{2,4}){2,4}",
 }
-_ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key)\"?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{6,128}"
+_ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key)\"?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{6,1024}"
 _TITLED = rf"(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? ){{1,3}}{_RUN}"
 _GIVEN = rf"(?:{'|'.join(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC)}) {_RUN}"
 #: Everything that is detected; it begins where no letter or digit goes before. Cheap looks at the next or
@@ -72,7 +75,7 @@ _GIVEN = rf"(?:{'|'.join(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC)}) {_RU
 _BY_FIRST = {r"[0-9(+]": ("ipv4", "ssn", "card", "phone"), "[A-Z]": ("access", "iban")}
 _FIRSTS = "|".join(f"(?={first})(?:{'|'.join(FORMS[n] for n in names)})" for first, names in _BY_FIRST.items())
 ENTITY = (
-    rf"(?<![\p{{L}}\p{{N}}_])(?:(?<=[=:\"']|[=:]\s|[=:]\s\s){_ASSIGNED}|{FORMS['email']}|{FORMS['ipv6']}|{FORMS['mac']}|{_FIRSTS}"
+    rf"(?<![\p{{L}}\p{{N}}_])(?:{FORMS['pem']}|{FORMS['jwt']}|(?<=[=:\"']|[=:]\s|[=:]\s\s){_ASSIGNED}|{FORMS['email']}|{FORMS['ipv6']}|{FORMS['mac']}|{_FIRSTS}"
     rf"|(?=[\p{{Lu}}гд])(?:{_TITLED}|{_GIVEN}))(?![\p{{L}}\p{{N}}_])"
 )
 
@@ -150,6 +153,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v) % 10
 
 
+def _iban_sum(canon: Column) -> Column:
+    """A number of a country, check digits and account modulo 97; 1 if it is valid."""
+    moved = F.split(F.concat(F.substring(canon, 5, 64), F.substring(canon, 1, 4)), "")
+    return F.aggregate(moved, F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97))
+
+
 def _name(kind: Column, canon: Column, s: Column) -> Column:
     """A given name of the gender and script, or a surname of the script."""
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
@@ -180,7 +189,14 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     body = F.substring(alike, F.lit(1), F.length(alike) - 1)
     fit = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     off = F.when(_luhn(canon) == 0, 0).otherwise(1 + _number(s, 101, 9))
-    card = F.concat(F.substring(canon, 1, 1), F.substring(body, 2, 64))
+    brand = F.when(canon.startswith("4"), 1).when(canon.rlike("^(?:2|30|35|60|64)"), 4).otherwise(2)
+    card = F.concat(F.substring(canon, F.lit(1), brand), F.substring(body, brand + 1, F.lit(64)))
+    account = F.substring(alike, 5, 64)
+    check = F.lpad((98 - _iban_sum(F.concat(F.substring(canon, 1, 2), F.lit("00"), account))).cast("string"), 2, "0")
+    area = 1 + _number(s, 0, 898)
+    area = F.when(canon.startswith("9"), 900 + _number(s, 0, 100)).otherwise(area + F.when(area >= 666, 1).otherwise(0))
+    ssn = F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (1 + _number(s, 4, 99), 2), (1 + _number(s, 8, 9999), 4))])
+    begin, end = (F.regexp_extract(canon, f"-----{word} [A-Z ]*-----", 0) for word in ("BEGIN", "END"))
     fit_card = (10 - _luhn(F.concat(card, F.lit("0")))) % 10
     hexes = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), _number(s, i, 16) + 1, F.lit(1))).when(c.rlike("[A-F]"), F.substring(F.lit("0123456789ABCDEF"), _number(s, i, 16) + 1, F.lit(1))).otherwise(c)), "")
     more = F.when(F.col("draw") < DRAWS, "").otherwise(F.expr("right(conv(substring(stream, 200, 8), 16, 10), 5)"))
@@ -189,7 +205,10 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     made = (
         F.when(kind == "email", F.concat(F.regexp_extract(alike, r"^([^@]*)@", 1), more, F.lit("@"), F.substring_index(F.substring(alike, F.lit(1), F.length(alike) - F.length(last)), "@", -1), last))
         .when(kind == "access", F.concat(F.substring(canon, 1, 4), F.substring(alike, 5, 64), more))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(alike, 3, 64)))
+        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.when(_iban_sum(canon) == 1, check).otherwise(F.substring(alike, 3, 2)), account))
+        .when(kind == "ssn", ssn)
+        .when(kind == "jwt", F.concat(F.lit("eyJ"), F.substring(alike, 4, 20_000)))
+        .when(kind == "pem", F.concat(begin, F.substring(alike, F.length(begin) + 1, F.length(alike) - F.length(begin) - F.length(end)), end))
         .when(kind == "mac", F.upper(F.substring(s, F.lit(1), F.length(canon))))
         .when(kind == "ipv4", F.concat_ws(".", *[octet(k) for k in range(4)]))
         .when(kind == "card", F.concat(card, ((fit_card + off) % 10).cast("string")))
@@ -253,7 +272,7 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with all entities replaced, and their number n_entities."""
-    a, b, new, flag = fresh(docs.columns, "k1", "k2", "new", "has")
+    a, b, new, flag = fresh(docs.columns, "key", "times", "new", "has")
     text = F.col(f"`{text_col}`")
     k1, k2 = keys(id_col, text_col)
     has = F.coalesce(text.rlike(ENTITY), F.lit(False))
@@ -261,15 +280,16 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spots = cut(docs.where(has).select(k1.alias("k1"), k2.alias("k2"), found.alias("raws")).select("k1", "k2", F.posexplode("raws").alias("at", "raw")))
     known = cut(replacements(spots.groupBy("raw").agg(F.count(F.lit(1)).alias("n")), key))
     placed = join_groups(spots, known, "raw", "n", spots.count())
-    per_doc = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "new"))).alias(new))  # a document's own mentions
-    per_doc = cut(per_doc.select(F.col("k1").alias(a), F.col("k2").alias(b), F.transform(new, lambda x: x["new"]).alias(new)))
+    per_doc = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "new"))).alias(new), F.count_if(F.col("at") == 0).alias(b))  # a document's own mentions, its rows
+    per_doc = cut(per_doc.select(F.struct("k1", "k2").alias(a), F.transform(new, lambda x: x["new"]).alias(new), b))
     blocks = n_blocks(per_doc.count(), 16, FILTER_MB)
-    flagged = flag_repeats(docs.withColumns({a: k1, b: k2}), a, repeated_cells(per_doc, a, blocks, 1), blocks, flag)  # spares a second search of all texts
-    hit = flagged.where(F.col(flag)).join(per_doc, [a, b], "left")
+    flagged = flag_repeats(docs.withColumn(a, F.struct(k1.alias("k1"), k2.alias("k2"))), a, repeated_cells(per_doc, a, blocks, 1), blocks, flag)  # spares a second search of all texts
+    hit = join_groups(flagged.where(F.col(flag)), per_doc, a, b, docs.count(), "left")
     done = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.col(new), lambda s, e: F.concat(s, F.coalesce(e, F.lit("")))), "")
     columns = [F.when(F.col(new).isNull(), text).otherwise(done).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    changed = hit.select(*columns, F.coalesce(F.size(new), F.lit(0)).cast("long").alias("n_entities"))
-    same = flagged.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_entities"))
+    (count,) = free_names(docs.columns, "n_entities")
+    changed = hit.select(*columns, F.coalesce(F.size(new), F.lit(0)).cast("long").alias(count))
+    same = flagged.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias(count))
     return same.unionByName(changed)
 
 
