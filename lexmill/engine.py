@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +20,21 @@ class SearchEngine:
 
     Content filters are boolean columns over (content_type, body) of replies; URL filters take the
     page, the link as written and the link resolved; processors get the accepted replies of a crawl
-    level, fallback processors the rejected ones.
+    level, fallback processors the rejected ones; parsers find the links of a body. A processor that fails gets its
+    pages again, `retries` times; `total` counts the pages that were processed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = index.BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = index.BUCKETS, retries: int = 1):
         self.spark, self.store = spark, index.IndexStore(spark, path, buckets)
         self.filters: list[Column] = []
         self.url_filters: list[crawl.Filter] = []
         self.processors: list[Processor] = []
         self.fallbacks: list[Processor] = []
+        self.parsers: list[crawl.Parser] = []
+        self.retries, self.total = retries, 0
+
+    def add_parser(self, parse: crawl.Parser) -> None:
+        self.parsers.append(parse)
 
     def add_filter(self, accepts: Column) -> None:
         self.filters.append(accepts)
@@ -47,7 +53,7 @@ class SearchEngine:
 
     def get(self, name: str, since=None) -> tuple[int, str | None, object]:
         """(status, body, time) of a document: 404 if there is none, 304 if it is no newer than `since` (to the second)."""
-        row = self.store.documents().where(F.col("key") == name).first()
+        row = self.store.find_key(name).first()
         if row is None:
             return 404, None, None
         if since is not None and row["ts"].replace(microsecond=0) <= since:
@@ -62,15 +68,15 @@ class SearchEngine:
     def find_documents(self, text: str, ns: str = "") -> DataFrame:
         return index.bulk_read(self.store.documents(ns), self.find(text).select("key"))
 
-    def find_ids(self, text: str, bits: int = 512) -> str:
-        """The reply that lists the ids of all hits."""
-        return search.ids_json(self.find(text), bits=bits).first()[0]
+    def find_ids(self, text: str, bits: int = 512) -> Iterator[str]:
+        """The reply that lists the ids of all hits, in pieces."""
+        return search.ids_json(self.find(text), bits=bits)
 
     def iterate(self, collection: str, ns: str = "") -> DataFrame:
         return self.store.contents(collection, ns)
 
     def in_cache(self, url: str) -> bool:
-        return not self.store.documents().where(F.col("key") == url).isEmpty()
+        return not self.store.find_key(url).isEmpty()
 
     def top_words(self, num: int, ns: str = "") -> DataFrame:
         tf = tfidf.term_freq(self.store.documents(ns), "key", "data")
@@ -82,9 +88,8 @@ class SearchEngine:
         Rejected pages are members of the collection, without words.
         """
         accepted = self._accepted(replies)
-        rows = replies.select("url", host(F.col("url")).alias("host"), F.when(accepted, plain_text(F.col("body"))).otherwise("").alias("data"))
-        for name in [r[0] for r in rows.select("host").distinct().toLocalIterator()]:
-            self.store.upload(rows.where(F.col("host") == name), f"{name}.collection", "url", "data", text_copy=True)
+        rows = replies.select("url", F.when(accepted, plain_text(F.col("body"))).otherwise("").alias("data"))
+        self.store.upload(rows, F.concat(host(F.col("url")), F.lit(".collection")), "url", "data", text_copy=True)
 
     def _accepted(self, replies: DataFrame) -> Column:
         out = F.coalesce(accepts_text(F.col("content_type"), F.col("body")), F.lit(False))
@@ -92,6 +97,15 @@ class SearchEngine:
             out = out & f
         return out
 
+    def _process(self, process: Processor, rows: DataFrame) -> None:
+        """Hand rows to a processor, again if it fails; what it writes is safe to repeat, as the last write of a key counts."""
+        for left in range(self.retries, -1, -1):
+            try:
+                return process(rows)
+            except Exception:
+                if not left:
+                    raise
+
     def crawl(self, seeds: Sequence[str], fetch: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], depth: int = 3) -> DataFrame:
         """Crawl breadth first: store each reply, hand it to the processors, follow its links. (url, level) of all seen."""
         generation = F.lit(self.spark.sql("SELECT current_timestamp()").first()[0])
@@ -103,10 +117,11 @@ class SearchEngine:
             self.store.write_documents(schemas.documents(pages, F.col("key"), F.col("data")))
             accepted = self._accepted(good)
             for p in self.processors:
-                p(good.where(accepted & (F.col("code") != crawl.NOT_MODIFIED)))
+                self._process(p, good.where(accepted & (F.col("code") != crawl.NOT_MODIFIED)))
             for p in self.fallbacks:
-                p(good.where(~accepted))
+                self._process(p, good.where(~accepted))
+            self.total += good.count()
             return replies
 
         seed = self.spark.createDataFrame([(s,) for s in seeds], "url string")
-        return crawl.crawl(seed, fetched, self.store.documents(), generation, keep, self.url_filters, depth)
+        return crawl.crawl(seed, fetched, self.store.documents(), generation, keep, self.url_filters, depth, self.parsers)

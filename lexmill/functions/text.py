@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: letters, marks, digits and underscores, joined by a dot or an apostrophe inside.
-TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:[.'’][\p{L}\p{M}\p{N}_]+)*"
+#: The ranges of ideographs and of kana.
+IDEOGRAPHS = r"\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}"
+HIRAGANA, KATAKANA = r"\u3041-\u309F", r"\u30A0-\u30FF\uFF66-\uFF9F"
+_LETTER = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{IDEOGRAPHS}{HIRAGANA}{KATAKANA}]]"
+#: A word: letters, marks, digits and underscores, joined by a dot or an apostrophe inside; an ideograph, or a run of one kana.
+TOKEN = rf"{_LETTER}+(?:[.'’]{_LETTER}+)*|[{IDEOGRAPHS}]|[{HIRAGANA}]+|[{KATAKANA}]+"
 #: Stricter about what joins: dots and apostrophes between letters, dots and commas between digits;
 #: a run of underscores alone is no word. Needs look-around, so it has no SQL twin.
 STRICT_TOKEN = r"(?=_*[\p{L}\p{M}\p{N}])[\p{L}\p{M}\p{N}_](?:[\p{L}\p{M}\p{N}_]|(?<=\p{L}\p{M}{0,4})[.'’:·](?=\p{L})|(?<=\p{N})[.',;](?=\p{N}))*"

@@ -1,9 +1,4 @@
-"""Parts, resolution and filters of URLs, as column expressions.
-
-Relative references without a leading slash need RFC 3986's path merging; `resolve_any` does that
-for whole Arrow batches, `resolve` covers absolute, scheme-relative, rooted, query and fragment
-references inside generated code.
-"""
+"""Parts, resolution and filters of URLs, as column expressions."""
 
 from __future__ import annotations
 
@@ -11,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
@@ -39,32 +33,29 @@ def query_item(url: Column, name: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose segments . and .. are carried out; one that ends in them ends in a slash."""
+    parts = F.split(path, "/", -1)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.concat(F.array_join(walked, "/"), F.when(ends, "/").otherwise(""))).otherwise(path)
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """A link as seen from a page; null if it would need path merging or is no reference."""
+    """A link as seen from a page: absolute, scheme-relative, rooted, relative to the page's path, a query, a fragment or empty."""
+    origin, page = F.regexp_extract(base, ORIGIN, 1), F.regexp_extract(base, PATH, 1)
+    path, rest = F.regexp_extract(link, "^[^?#]*", 0), F.regexp_extract(link, "(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(page == "", "/").otherwise(F.regexp_extract(page, "^(?:.*/)?", 0))
     return (
         F.when(link.rlike(SCHEME), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, SCHEME, 0), link))
-        .when(link.startswith("/"), F.concat(F.regexp_extract(base, ORIGIN, 1), link))
-        .when(link.startswith("?"), F.concat(F.regexp_extract(base, ORIGIN, 1), F.regexp_extract(base, PATH, 1), link))
-        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .when(link.startswith("/"), F.concat(origin, without_dots(path), rest))
+        .when(link.startswith("?"), F.concat(origin, page, link))
+        .when((link == "") | link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .when(origin != "", F.concat(origin, without_dots(F.concat(folder, path)), rest))
     )
 
 
-@F.pandas_udf(T.StringType())
-def resolve_any(base, link):
-    from urllib.parse import urljoin
-
-    import pandas as pd
-
-    def one(b, x):
-        try:
-            return urljoin(b, x) if isinstance(b, str) and isinstance(x, str) else None
-        except ValueError:
-            return None
-
-    return pd.Series([one(b, x) for b, x in zip(base, link, strict=True)])
-
-
 def allowed_scheme(url: Column, schemes: Sequence[str] = ("http", "https")) -> Column:
     return scheme(url).isin(*schemes)
 

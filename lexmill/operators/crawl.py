@@ -23,6 +23,8 @@ DOWNLOAD, REVALIDATE, SKIP = "download", "revalidate", "skip"
 NEW, CACHED = "new", "cache"
 
 Filter = Callable[[Column, Column, Column], Column]
+#: The links that a parser finds in a body, as an array.
+Parser = Callable[[Column], Column]
 
 
 def domain_filter(base_url_host: str) -> Filter:
@@ -62,13 +64,14 @@ def routed(replies: DataFrame, accepts: Sequence[Column]) -> DataFrame:
     return replies.withColumn("route", F.when(~accepted, "fallback").when(F.col("code") == NOT_MODIFIED, "links only").otherwise("process"))
 
 
-def outgoing(replies: DataFrame, filters: Sequence[Filter] = (), schemes: Sequence[str] = ("http", "https"), merge_paths: bool = False) -> DataFrame:
-    """(page, url): the distinct links to follow, resolved; not those to other schemes, no host, or the page itself."""
-    links = exploded(replies, [F.col("url").alias("page")], link_set(F.col("body")), "link")
-    resolved = urls.resolve(F.col("page"), F.col("link"))
-    if merge_paths:
-        resolved = F.coalesce(resolved, urls.resolve_any(F.col("page"), F.col("link")))
-    links = links.withColumn("url", resolved).where(F.col("url").isNotNull() & urls.allowed_scheme(F.col("url"), schemes) & (urls.host(F.col("url")) != "") & (F.col("url") != F.col("page")))
+def outgoing(replies: DataFrame, filters: Sequence[Filter] = (), schemes: Sequence[str] = ("http", "https"), parsers: Sequence[Parser] = ()) -> DataFrame:
+    """(page, url): the distinct links to follow, resolved; not those to other schemes, no host, or the page itself.
+
+    Links are what the parsers find in a body; without any, the hrefs of anchors.
+    """
+    found = [p(F.col("body")) for p in parsers] or [link_set(F.col("body"))]
+    links = exploded(replies, [F.col("url").alias("page")], F.array_distinct(F.concat(*found)), "link")
+    links = links.withColumn("url", urls.resolve(F.col("page"), F.col("link"))).where(F.col("url").isNotNull() & urls.allowed_scheme(F.col("url"), schemes) & (urls.host(F.col("url")) != "") & (F.col("url") != F.col("page")))
     for f in filters:
         links = links.where(f(F.col("page"), F.col("link"), F.col("url")))
     return links.select("page", "url").distinct()
@@ -86,16 +89,16 @@ def plan(frontier_urls: DataFrame, cache: DataFrame, generation: Column) -> Data
     return frontier_urls.join(held, "url", "left").select("url", action.alias("action"), F.when(action == REVALIDATE, F.col("_ts")).alias("since"))
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], cache: DataFrame, generation: Column, keep: Callable[[DataFrame], DataFrame], filters: Sequence[Filter] = (), depth: int = 3) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], cache: DataFrame, generation: Column, keep: Callable[[DataFrame], DataFrame], filters: Sequence[Filter] = (), depth: int = 3, parsers: Sequence[Parser] = ()) -> DataFrame:
     """(url, level): breadth first from the seeds; `keep` writes a table and gives it back, cutting the lineage at each level."""
     visited = keep(seeds.select("url", F.lit(0).alias("level")))
     todo = plan(seeds, cache, generation)
     for level in range(1, depth + 1):
         replies = keep(with_cached_bodies(usable(fetch(todo.where(F.col("action") != SKIP))), cache))
-        found = frontier(outgoing(replies, filters), visited)
+        found = frontier(outgoing(replies, filters, parsers=parsers), visited)
         fresh = keep(found.withColumn("level", F.lit(level)))
         if fresh.isEmpty():
             break
-        visited = keep(visited.unionByName(fresh))
+        visited = visited.unionByName(fresh)  # each level is written once
         todo = plan(fresh.select("url"), cache, generation)
     return visited

@@ -2,8 +2,9 @@
 
 Tables are appended to, never changed in place: a key's current state is that of its latest time, so
 writing a document, replacing its postings and dropping them are all appends, safe to repeat.
-On disk postings are partitioned by a hash bucket of the token: a query reads only the buckets of its
-own words, and within them Parquet's statistics skip row groups without them.
+On disk postings are partitioned by a hash bucket of the token, documents by one of their id, memberships by
+one of the collection: a query reads only the buckets of its own words, key or collection, and within
+them Parquet's statistics skip row groups.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from lexmill.functions.text import TOKEN, exploded, tokens
 from lexmill.functions.urls import host
 
 BUCKETS = 256
+_BUCKET = T.StructField("bucket", T.IntegerType())
 
 
 def token_positions(docs: DataFrame, key: str, text: str, pattern: str = TOKEN) -> DataFrame:
@@ -56,7 +58,8 @@ def latest_documents(table: DataFrame, keys: Sequence[str] = ("ns", "key"), ts:
 
 def live_postings(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """Postings of each document's latest time only: what replaced them hides older ones."""
-    newest = documents.groupBy("key").agg(F.max("ts").alias("_newest"))
+    about = documents.select("key", "ts").join(postings.select("key").distinct(), "key", "left_semi")  # of what is asked for only
+    newest = about.groupBy("key").agg(F.max("ts").alias("_newest"))
     return postings.join(newest, "key").where(F.col("ts") == F.col("_newest")).drop("_newest")
 
 
@@ -99,37 +102,60 @@ class IndexStore:
             return self.spark.createDataFrame([], schema)
 
     def documents(self, ns: str = "") -> DataFrame:
-        table = schemas.checked(self._table("documents", schemas.DOCUMENT), schemas.DOCUMENT_VERSION)
-        return latest_documents(table.where(F.col("ns") == ns))
+        return self._latest(self._stored().where(F.col("ns") == ns))
 
-    def members(self) -> DataFrame:
-        return self._table("collections", schemas.MEMBERSHIP)
+    def _stored(self) -> DataFrame:
+        return self._table("documents", T.StructType([*schemas.DOCUMENT.fields, _BUCKET]))
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        return latest_documents(schemas.checked(rows.drop("bucket"), schemas.DOCUMENT_VERSION))
+
+    def members(self, collection: str | None = None) -> DataFrame:
+        """All memberships, or those of one collection, whose bucket alone is read."""
+        table = self._table("collections", T.StructType([*schemas.MEMBERSHIP.fields, _BUCKET]))
+        if collection is not None:
+            table = table.where(F.col("bucket") == self._number(self._bucket(F.lit(collection))))
+        return collection_scan(table.drop("bucket"), collection)
 
     def postings(self, words: Sequence[str] | None = None) -> DataFrame:
         """Live postings, of the given words only: the buckets of other words are not read."""
-        table = self._table("postings", T.StructType([*schemas.POSTING.fields, T.StructField("bucket", T.IntegerType())]))
+        table = self._table("postings", T.StructType([*schemas.POSTING.fields, _BUCKET]))
         if words is not None:
             buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in words] or [("",)], "token string").select(self._bucket(F.col("token"))).collect()]
             table = table.where(F.col("bucket").isin(buckets) & F.col("token").isin(list(words)))
-        return live_postings(schemas.checked(table, schemas.POSTING_VERSION), self._table("documents", schemas.DOCUMENT).where(F.col("ns") == "")).drop("bucket", "version", "ts")
+        return live_postings(schemas.checked(table, schemas.POSTING_VERSION), self._stored().where(F.col("ns") == "")).drop("bucket", "version", "ts")
 
     def _bucket(self, token: Column) -> Column:
         return F.pmod(F.xxhash64(token), F.lit(self.buckets)).cast("int")
 
+    def _key_bucket(self, doc_id: Column) -> Column:
+        """The bucket of a document by its id, so that a key and an id lead to the same one."""
+        return F.pmod(F.conv(F.substring(doc_id, 1, 8), 16, 10).cast("long"), F.lit(self.buckets)).cast("int")
+
+    def _number(self, value: Column) -> int:
+        return self.spark.range(1).select(value).first()[0]
+
+    def _append(self, rows: DataFrame, name: str, bucket: Column, *order: str) -> None:
+        rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
     def write_documents(self, rows: DataFrame) -> None:
-        rows.select(schemas.DOCUMENT.fieldNames()).write.mode("append").parquet(f"{self.path}/documents")
+        self._append(rows.select(schemas.DOCUMENT.fieldNames()), "documents", self._key_bucket(schemas.document_id(F.col("key"))), "key")
 
-    def upload(self, docs: DataFrame, collection: str, key: str = "key", data: str = "data", ts: Column | None = None, text_copy: bool = False) -> None:
+    def upload(self, docs: DataFrame, collection: str | Column, key: str = "key", data: str = "data", ts: Column | None = None, text_copy: bool = False) -> None:
         """Write documents, index their words in place of older ones, and add them to a collection.
 
-        An empty collection name adds them to none; an empty document has no postings but is a member.
+        The collection is one name or a column of names; an empty one adds to none. An empty document has no
+        postings but is a member.
         """
-        rows = schemas.documents(docs, F.col(key), F.col(data), F.lit(self._now()) if ts is None else ts)
+        now = F.lit(self._now()) if ts is None else ts
+        rows = schemas.documents(docs, F.col(key), F.col(data), now)
         postings = build_postings(rows, "key", "data").join(rows.select("key", "ts"), "key")
-        postings = postings.select(F.lit(schemas.POSTING_VERSION).alias("version"), "key", "token", "positions", "ts", self._bucket(F.col("token")).alias("bucket"))
-        postings.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        if collection:
-            rows.select(F.lit(collection).alias("collection"), "key", "ts").write.mode("append").parquet(f"{self.path}/collections")
+        postings = postings.select(F.lit(schemas.POSTING_VERSION).alias("version"), "key", "token", "positions", "ts")
+        self._append(postings, "postings", self._bucket(F.col("token")), "token")
+        if isinstance(collection, Column) or collection:
+            name = collection if isinstance(collection, Column) else F.lit(collection)
+            members = docs.select(name.alias("collection"), F.col(key).alias("key"), now.alias("ts")).where("collection <> ''")
+            self._append(members, "collections", self._bucket(F.col("collection")), "collection", "key")
         if text_copy:
             self.write_documents(rows.withColumn("ns", F.lit("text")))
         self.write_documents(rows)  # last: a document counts once its postings are there
@@ -139,17 +165,27 @@ class IndexStore:
 
     def read(self, key: str, ns: str = "") -> dict:
         """One document; KeyError if there is none."""
-        row = self.documents(ns).where(F.col("key") == key).first()
+        row = self.find_key(key, ns).first()
         if row is None:
             raise KeyError(key)
         return row.asDict()
 
+    def find_key(self, key: str, ns: str = "") -> DataFrame:
+        """The document of a key, if there is one; its bucket alone is read."""
+        bucket = self._number(self._key_bucket(schemas.document_id(F.lit(key))))
+        return self._latest(self._stored().where((F.col("bucket") == bucket) & (F.col("key") == key) & (F.col("ns") == ns)))
+
+    def find_id(self, doc_id: str, ns: str = "") -> DataFrame:
+        """The document of an id, if there is one; its bucket alone is read."""
+        bucket = self._number(self._key_bucket(F.lit(doc_id)))
+        return self._latest(self._stored().where((F.col("bucket") == bucket) & (schemas.document_id(F.col("key")) == doc_id) & (F.col("ns") == ns)))
+
     def read_by_id(self, doc_id: str, ns: str = "") -> dict:
-        row = self.documents(ns).where(schemas.document_id(F.col("key")) == doc_id).first()
+        row = self.find_id(doc_id, ns).first()
         if row is None:
             raise KeyError(doc_id)
         return row.asDict()
 
     def contents(self, collection: str, ns: str = "") -> DataFrame:
         """The documents of a collection."""
-        return bulk_read(self.documents(ns), collection_scan(self.members(), collection))
+        return bulk_read(self.documents(ns), self.members(collection))

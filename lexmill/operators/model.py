@@ -7,6 +7,10 @@ validation chooses. A pair counts as similar from a probability of one half.
 
 from __future__ import annotations
 
+import random
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.score import confusion, precision_recall
+from lexmill.session import cut
 
 FEATURES = ["n_first", "n_second", "n_shared", "n_request", "n_shared_request"]
 
@@ -25,9 +30,17 @@ def in_training(key: Column, share: int = 90) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(100)) < share
 
 
-def random_picks(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Rows drawn with replacement."""
-    return df.sample(True, fraction, seed)
+def random_picks(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows drawn with replacement; the driver draws places, of which each partition has its share."""
+    rows = cut(df).withColumn("_at", F.monotonically_increasing_id())
+    sizes = sorted(rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())  # a row per partition
+    ends = list(accumulate(r["count"] for r in sizes))
+    if not ends:
+        return df.limit(0)
+    drawn = [random.Random(seed + k).randrange(ends[-1]) for k in range(n)]
+    places = [((p := bisect_right(ends, r)), r - (ends[p - 1] if p else 0)) for r in drawn]
+    wanted = df.sparkSession.createDataFrame([((sizes[p]["part"] << 33) + i,) for p, i in places], "_at long")
+    return rows.join(F.broadcast(wanted), "_at").select(df.columns)
 
 
 def estimator() -> Pipeline:

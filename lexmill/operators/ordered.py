@@ -1,7 +1,7 @@
 """Operations in row order without gathering all rows in one task.
 
-Rows are cut into buckets of an integer order; each bucket is a window of bounded size, and only a
-row per bucket goes through a window over the buckets.
+Rows are cut into ranges of the order that hold about equally many, whatever the numbers; each is a window of
+bounded size, and only a row per range goes through a window over the ranges.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Order numbers to a bucket.
-WIDTH = 100_000
+from lexmill.session import cut
+
+#: Rows of a range.
+WIDTH = 1_000_000
 
 
 def _bucketed(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(order) / width))
+    """df with the number of each row's range; written once, as ranges are sampled anew by each run."""
+    n = max(1, -(-df.count() // width))
+    return cut(df.repartitionByRange(n, order).withColumn("_bucket", F.spark_partition_id()))
 
 
 def consecutive_pairs(df: DataFrame, order: str, width: int = WIDTH) -> DataFrame:

@@ -8,15 +8,18 @@ is ignored, and a phrase without words asks for nothing.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The same words as functions.text.TOKEN: \w holds letters, digits and underscores, and the marks are added.
 _MARKS = "".join(chr(c) for a, b in ((0x300, 0x36F), (0x483, 0x489), (0x591, 0x5BD), (0x610, 0x61A), (0x64B, 0x65F), (0x93A, 0x94D)) for c in range(a, b + 1))
-_WORD = re.compile(rf"[\w{_MARKS}]+(?:[.'’][\w{_MARKS}]+)*")
+_IDEOGRAPHS, _HIRAGANA, _KATAKANA = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af", "\u3041-\u309f", "\u30a0-\u30ff\uff66-\uff9f"
+_LETTER = rf"(?:(?![{_IDEOGRAPHS}{_HIRAGANA}{_KATAKANA}])[\w{_MARKS}])"
+_WORD = re.compile(rf"{_LETTER}+(?:[.'’]{_LETTER}+)*|[{_IDEOGRAPHS}]|[{_HIRAGANA}]+|[{_KATAKANA}]+")
 
 
 class Query(NamedTuple):
@@ -56,10 +59,11 @@ def search(postings: DataFrame, text: str | Query, key: str = "key") -> DataFram
     hits = hits.where(F.size("matches") == len(words))
 
     def follows(phrase: list[str]):
-        def at(p):
-            return reduce(lambda a, b: a & b, (F.array_contains(F.col("matches")[w], p + i) for i, w in enumerate(phrase) if i), F.lit(True))
+        def begin(w: str, i: int) -> Column:
+            return F.transform(F.col("matches")[w], lambda p: p - i)
 
-        return F.exists(F.col("matches")[phrase[0]], at)
+        begins = [begin(w, i) for i, w in enumerate(phrase)]
+        return F.arrays_overlap(reduce(F.array_intersect, begins[:-1]), begins[-1])  # by hashing, so linear in the positions
 
     for phrase in query.phrases:
         if len(phrase) > 1:
@@ -78,7 +82,14 @@ def as_json(hits: DataFrame, key: str = "key") -> DataFrame:
     return hits.select(key, F.to_json(F.struct(F.col(key).cast("string").alias("key"), entries.alias("tokens"))).alias("json"))
 
 
-def ids_json(hits: DataFrame, key: str = "key", bits: int = 256) -> DataFrame:
-    """One row: the reply that lists the ids of all hits. It is one document by nature, as long as the hits are many."""
-    ids = F.sort_array(F.collect_list(F.sha2(F.col(key).cast("string"), bits)))
-    return hits.agg(F.to_json(F.struct(ids.alias("result"))).alias("json"))
+def ids(hits: DataFrame, key: str = "key", bits: int = 256) -> DataFrame:
+    """(id): the ids of all hits, sorted across partitions."""
+    return hits.select(F.sha2(F.col(key).cast("string"), bits).alias("id")).orderBy("id")
+
+
+def ids_json(hits: DataFrame, key: str = "key", bits: int = 256) -> Iterator[str]:
+    """The reply that lists the ids of all hits, in pieces: the driver holds one partition at a time."""
+    yield '{"result":['
+    for k, row in enumerate(ids(hits, key, bits).toLocalIterator()):
+        yield (',"' if k else '"') + row["id"] + '"'
+    yield "]}"

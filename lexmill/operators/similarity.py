@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import ngrams
 from lexmill.operators.ordered import consecutive_pairs
+from lexmill.schemas import PAIR_DOC_VERSION, checked
 
 
 def learn_pairs(lines: DataFrame, line: str = "line", number: str = "line_no", most: int | None = None) -> DataFrame:
@@ -34,6 +35,11 @@ def with_grams(docs: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     return docs.select(F.col(key), ngrams(F.col(text), n).alias("grams"))
 
 
+def with_gram_hashes(docs: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
+    """n-grams as 64-bit hashes, which shuffle in a third of the bytes; in one document two of them never agreed in our tests."""
+    return docs.select(F.col(key), F.transform(ngrams(F.col(text), n), lambda g: F.xxhash64(g)).alias("grams"))
+
+
 def overlap_percent(a: Column, b: Column) -> Column:
     """Shared n-grams in whole percent of the smaller side; null if a side has none."""
     return F.floor(F.try_divide(F.size(F.array_intersect(a, b)) * 100, F.least(F.size(a), F.size(b))))
@@ -48,9 +54,10 @@ def paired(pairs: DataFrame, grams: DataFrame, key: str, first: str, second: str
 
 def consecutive_overlap(docs: DataFrame, key: str, text: str, threshold: int = 50) -> DataFrame:
     """(first, second, shared, percent, matched) for each document and the next one."""
-    both = paired(consecutive_pairs(docs, key), with_grams(docs, key, text), key, "first", "second")
-    percent = overlap_percent(F.col("f"), F.col("s")).cast("long")
-    return both.select("first", "second", F.size(F.array_intersect("f", "s")).cast("long").alias("shared"), percent.alias("percent"), (percent > threshold).alias("matched"))
+    both = paired(consecutive_pairs(docs, key), with_gram_hashes(docs, key, text), key, "first", "second")
+    met = both.select("first", "second", F.least(F.size("f"), F.size("s")).alias("least"), F.size(F.array_intersect("f", "s")).cast("long").alias("shared"))
+    percent = F.floor(F.try_divide(F.col("shared") * 100, F.col("least"))).cast("long")
+    return met.select("first", "second", "shared", percent.alias("percent"), (percent > threshold).alias("matched"))
 
 
 def pair_features(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
@@ -59,6 +66,52 @@ def pair_features(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int
     `valid` is whether both documents have n-grams.
     """
     both = paired(pairs.withColumn("req", ngrams(F.col("request"), n)), with_grams(docs, key, text, n), key, "doc1", "doc2")
-    shared = F.array_intersect("f", "s")
-    sizes = {"n_first": F.size("f"), "n_second": F.size("s"), "n_shared": F.size(shared), "n_request": F.size("req"), "n_shared_request": F.size(F.array_intersect(shared, "req"))}
-    return both.select(*pairs.columns, *[c.cast("long").alias(k) for k, c in sizes.items()], ((F.size("f") > 0) & (F.size("s") > 0)).alias("valid"))
+    return gram_features(both, pairs.columns)
+
+
+def gram_features(both: DataFrame, columns: list[str]) -> DataFrame:
+    """The five features from the n-grams f, s and req."""
+    met = both.withColumn("_shared", F.array_intersect("f", "s"))
+    sizes = {"n_first": F.size("f"), "n_second": F.size("s"), "n_shared": F.size("_shared"), "n_request": F.size("req"), "n_shared_request": F.size(F.array_intersect("_shared", "req"))}
+    return met.select(*columns, *[c.cast("long").alias(k) for k, c in sizes.items()], ((F.size("f") > 0) & (F.size("s") > 0)).alias("valid"))
+
+
+# --- stored pairs and their documents --------------------------------------------------------------
+
+PAIR_DOCUMENT = "version int, id long, text string, ngrams array<string>"
+ELEMENT = "doc_ids array<long>, label int, request string, req_ngrams array<string>"
+
+
+def pair_document_rows(docs: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
+    """Documents as they are stored for pairs: with their n-grams."""
+    return docs.select(F.lit(PAIR_DOC_VERSION).alias("version"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), ngrams(F.col(text), n).alias("ngrams"))
+
+
+def element_rows(pairs: DataFrame, n: int = 4) -> DataFrame:
+    """Pairs as they are stored for learning: with the n-grams of the request."""
+    return pairs.select(F.array("doc1", "doc2").alias("doc_ids"), F.col("label").cast("int").alias("label"), "request", ngrams(F.col("request"), n).alias("req_ngrams"))
+
+
+class PairStore:
+    """Pair documents and learn elements under one folder; Spark's own tasks give the back pressure."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write_documents(self, docs: DataFrame, key: str, text: str, n: int = 4) -> None:
+        pair_document_rows(docs, key, text, n).write.mode("append").parquet(f"{self.path}/documents")
+
+    def write_elements(self, pairs: DataFrame, n: int = 4) -> None:
+        element_rows(pairs, n).write.mode("overwrite").parquet(f"{self.path}/elements")
+
+    def documents(self) -> DataFrame:
+        return checked(self.spark.read.schema(PAIR_DOCUMENT).parquet(f"{self.path}/documents"), PAIR_DOC_VERSION)
+
+    def elements(self) -> DataFrame:
+        return self.spark.read.schema(ELEMENT).parquet(f"{self.path}/elements")
+
+    def features(self) -> DataFrame:
+        """The features of all stored elements whose documents are stored, as `pair_features` gives them."""
+        pairs = self.elements().select(F.monotonically_increasing_id().alias("line_no"), F.col("doc_ids")[0].alias("doc1"), F.col("doc_ids")[1].alias("doc2"), "label", "request", F.col("req_ngrams").alias("req"))
+        both = paired(pairs, self.documents().select("id", F.col("ngrams").alias("grams")), "id", "doc1", "doc2")
+        return gram_features(both, ["line_no", "doc1", "doc2", "label", "request"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import TOKEN, exploded, tokens
+from lexmill.operators.groups import join_largest
 
 
 def term_freq(docs: DataFrame, key: str, text: str, pattern: str = TOKEN) -> DataFrame:
@@ -48,8 +49,9 @@ def merge_doc_freq(*parts: DataFrame) -> DataFrame:
 def top_words(tf: DataFrame, df: DataFrame, key: str, num: int) -> DataFrame:
     """(key, token, score, rank): a document's words with the largest tf / df; equal scores go by word.
 
-    A document's words are bounded by its text, so the window by document is no hot spot.
+    A document's words are bounded by its text, so the window by document is no hot spot; words that
+    very many documents have join by a bounded broadcast.
     """
-    scored = tf.join(df, "token").select(key, "token", (F.col("cnt") / F.col("n_docs")).alias("score"))
+    scored = join_largest(tf, df, "token", "n_docs").select(key, "token", (F.col("cnt") / F.col("n_docs")).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "token")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= num)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill import schemas
 from lexmill.functions import charset, html, normalize, text, urls
 from lexmill.operators import crawl, index, model, ordered, score, search, similarity, tfidf
 from lexmill.session import scratch, ship, spread
@@ -50,7 +51,8 @@ def postings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- pieces of SQL --------------------------------------------------------------------------------
 
-R = text.TOKEN.replace("'", "''")
+# The SQL states results by patterns of its own, none of which is the library's.
+R = "[\\pL\\pM\\pN_]+(?:[.''’][\\pL\\pM\\pN_]+)*"
 TOK = f"""toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{R}') AS a FROM documents),
 tok AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, a[i] AS token FROM toks, unnest(generate_series(1, len(a))) AS u(i))"""
 TF = f"{TOK}, tf AS (SELECT doc_id, token, count(*) AS cnt FROM tok GROUP BY doc_id, token)"
@@ -62,22 +64,23 @@ def _sql(x: str) -> str:
 
 
 def _nodes(source: str = "pages", key: str = "page_id", body: str = "html") -> str:
+    """Text nodes: what stands behind the first > of each piece between two <, of a page without what scripts, styles and comments hold."""
     bare = body
-    for p in (html.COMMENT, html.SCRIPT, html.STYLE):
-        bare = f"regexp_replace({bare}, '{_sql(p)}', ' ', 'g')"
-    unescaped = "x"
-    for name, char in html.REFERENCES.items():
-        unescaped = f"replace({unescaped}, '{_sql(name)}', '{_sql(char)}')"
-    return f"""nodes AS (SELECT {key}, list_filter([trim(regexp_replace({unescaped}, '\\s+', ' ', 'g')) FOR x IN string_split(regexp_replace({bare}, '{_sql(html.TAG)}', chr(1), 'g'), chr(1))], lambda t: t <> '') AS n FROM {source})"""
-
-
-HREFS = f"hrefs AS (SELECT page_id, url, regexp_extract_all(html, '{_sql(html.HREF)}', 1) AS h FROM pages)"
-HOST = f"lower(regexp_extract(url, '{urls.HOST}', 1))"
-RESOLVED = f"""links AS (SELECT DISTINCT page_id, url AS page, x AS link,
-  CASE WHEN regexp_matches(x, '{urls.SCHEME}') THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '{urls.SCHEME}', 0) || x
-       WHEN starts_with(x, '/') THEN regexp_extract(url, '{urls.ORIGIN}', 1) || x
-       WHEN starts_with(x, '?') THEN regexp_extract(url, '{urls.ORIGIN}', 1) || regexp_extract(url, '{urls.PATH}', 1) || x
-       WHEN starts_with(x, '#') THEN regexp_replace(url, '#.*$', '') || x END AS resolved
+    for begin, end in (("<!--", "-->"), ("<script", "</script>"), ("<style", "</style>")):
+        bare = f"regexp_replace({bare}, '{begin}(?s:.*?){end}', ' ', 'g')"
+    tags = f"regexp_replace({bare}, '<([/!a-zA-Z])', chr(2) || '\\1', 'g')"
+    piece = "CASE WHEN i = 1 THEN x ELSE substr(x, instr(x, '>') + 1) END"
+    plain = piece
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        plain = f"replace({plain}, '{name}', '{char}')"
+    return f"nodes AS (SELECT {key}, list_filter(list_transform(string_split({tags}, chr(2)), lambda x, i: trim(regexp_replace({plain}, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'))), lambda t: t <> '') AS n FROM {source})"
+
+
+HREFS = """hrefs AS (SELECT page_id, url, list_transform(list_filter(string_split(regexp_replace(html, '<!--(?s:.*?)-->', ' ', 'g'), '<a ')[2:], lambda x: contains(split_part(x, '>', 1), 'href=')),
+  lambda x: replace(split_part(split_part(split_part(x, '>', 1), 'href="', 2), '"', 1), '&amp;', '&')) AS h FROM pages)"""
+HOST = "lower(regexp_replace(split_part(regexp_replace(url, '[?#].*', ''), '/', 3), ':[0-9]*$', ''))"
+RESOLVED = """links AS (SELECT DISTINCT page_id, url AS page, x AS link,
+  CASE WHEN contains(x, '://') THEN x WHEN x[1:1] = '/' THEN split_part(url, '/', 1) || '//' || split_part(regexp_replace(url, '[?#].*', ''), '/', 3) || x END AS resolved
   FROM hrefs, unnest(h) AS u(x))"""
 
 
@@ -110,15 +113,61 @@ def render_documents(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", index.render_document(F.col("url"), ts, F.col("html")).alias("line"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE 'doc/' || CAST(doc_id AS VARCHAR) = 'doc/7'")
+def _store(spark: SparkSession, buckets: int = 16) -> index.IndexStore:
+    return index.IndexStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}", buckets)
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("data"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> index.IndexStore:
+    store = _store(spark)
+    store.write_documents(schemas.documents(_keyed(spark, sf_dir), F.col("key"), F.col("data")))
+    return store
+
+
+@query("SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS key, text AS data FROM documents WHERE doc_id = 7")
 def doc_by_key(spark, sf_dir):
-    return docs_of(spark, sf_dir).where(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")) == "doc/7")
+    """Through the document store, of which one bucket is read."""
+    return _stored(spark, sf_dir).find_key("doc/7").select("key", "data")
 
 
-@query("SELECT doc_id, sha256('doc/' || CAST(doc_id AS VARCHAR)) AS id FROM documents WHERE sha256('doc/' || CAST(doc_id AS VARCHAR)) = sha256('doc/7')")
+@query("SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS key, text AS data FROM documents WHERE doc_id = 8")
 def doc_by_id(spark, sf_dir):
-    key = F.sha2(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), 256)
-    return docs_of(spark, sf_dir).select("doc_id", key.alias("id")).where(F.col("id") == F.sha2(F.lit("doc/7"), 256))
+    """The same by the id of the key."""
+    import hashlib
+
+    return _stored(spark, sf_dir).find_id(hashlib.sha512(b"doc/8").hexdigest()).select("key", "data")
+
+
+@query(f"WITH {TOK}, found AS ({{phrase}} INTERSECT {{word}}) SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS key FROM found".format(phrase="SELECT a.doc_id FROM tok AS a JOIN tok AS b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'", word="SELECT doc_id FROM tok WHERE token = 'and'"))
+def store_upload_find(spark, sf_dir):
+    """Documents uploaded to an index on disk, and found by a phrase and a word."""
+    store = _store(spark)
+    store.upload(_keyed(spark, sf_dir), "all")
+    asked = search.parse('"of the" and')
+    return search.search(store.postings(asked.all_words), asked).select("key")
+
+
+@query(f"WITH {TOK} SELECT DISTINCT 'doc/' || CAST(doc_id AS VARCHAR) AS key FROM tok WHERE token = 'the' AND doc_id % 3 <> 0 UNION ALL SELECT 'doc/' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 = 0")
+def store_replace_find(spark, sf_dir):
+    """A second upload replaces the words of every third document."""
+    store, rows = _store(spark), _keyed(spark, sf_dir)
+    store.upload(rows, "all", ts=F.lit("2024-01-01").cast("timestamp"))
+    third = docs_of(spark, sf_dir).where("doc_id % 3 = 0").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("key"), F.lit("just the new").alias("data"))
+    store.upload(third, "all", ts=F.lit("2024-01-02").cast("timestamp"))
+    return search.search(store.postings(["the"]), "the").select("key")
+
+
+@query(f"SELECT url AS key, strlen(html) AS size FROM (SELECT url, max(html) AS html FROM pages WHERE {HOST} = (SELECT min({HOST}) FROM pages) GROUP BY url)")
+def store_collection(spark, sf_dir):
+    """Pages uploaded by the collections of their hosts in one job, and the contents of one collection."""
+    store, pages = _store(spark), pages_of(spark, sf_dir)
+    once = pages.groupBy("url").agg(F.max("html").alias("html"))
+    store.upload(once, urls.host(F.col("url")), "url", "html")
+    first = pages.agg(F.min(urls.host(F.col("url")))).first()[0]
+    return store.contents(first).select("key", F.octet_length("data").cast("long").alias("size"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -302,7 +351,7 @@ def pair_overlap(spark, sf_dir):
 
 
 LINES = """lines AS (SELECT l.doc_id AS line_no, CAST(l.doc_id AS VARCHAR) || chr(9) || CAST(l.doc_id + 1 AS VARCHAR) || chr(9) || CAST(l.quality AS VARCHAR) || chr(9) || coalesce(b.text, '') AS line
-FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) AS l LEFT JOIN (SELECT item_id, any_value(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark GROUP BY item_id) AS b ON b.item_id = l.doc_id % 41)"""
+FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) AS l LEFT JOIN (SELECT item_id, any_value(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark GROUP BY item_id) AS b ON b.item_id = l.doc_id % (SELECT max(item_id) + 2 FROM benchmark))"""
 PAIRS = f"""{LINES}, learn AS (SELECT line_no, CAST(split_part(line, chr(9), 1) AS BIGINT) AS doc1, CAST(split_part(line, chr(9), 2) AS BIGINT) AS doc2,
 CASE WHEN split_part(line, chr(9), 3) <> '0' THEN 1 ELSE -1 END AS label, split_part(line, chr(9), 4) AS request FROM lines WHERE split_part(line, chr(9), 4) <> '')"""
 
@@ -310,7 +359,8 @@ CASE WHEN split_part(line, chr(9), 3) <> '0' THEN 1 ELSE -1 END AS label, split_
 def _learn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     items = table(spark, sf_dir, "benchmark").groupBy("item_id").agg(F.first(F.regexp_replace("text", r"\s+", " ")).alias("request"))
-    both = labels.join(items, F.col("doc_id") % 41 == F.col("item_id"), "left")
+    n = items.agg(F.max("item_id") + 2).first()[0] or 2  # one more than there are, so that some lines have no request
+    both = labels.join(items, F.col("doc_id") % n == F.col("item_id"), "left")
     line = F.concat_ws("\t", "doc_id", F.col("doc_id") + 1, "quality", F.coalesce("request", F.lit("")))
     return similarity.learn_pairs(both.select(F.col("doc_id").alias("line_no"), line.alias("line")))
 
@@ -333,6 +383,31 @@ def pair_features(spark, sf_dir):
     return similarity.pair_features(_learn_pairs(spark, sf_dir), docs_of(spark, sf_dir), "doc_id", "text")
 
 
+def _pair_store(spark: SparkSession, sf_dir: str) -> similarity.PairStore:
+    store = similarity.PairStore(spark, f"{scratch(spark)}/pairs-{uuid.uuid4().hex}")
+    store.write_documents(docs_of(spark, sf_dir), "doc_id", "text")
+    store.write_elements(_learn_pairs(spark, sf_dir))
+    return store
+
+
+@query(f"WITH {GRAMS} SELECT doc_id AS id, text, CAST(len(g) AS BIGINT) AS n, md5(array_to_string(g, '|')) AS digest FROM grams JOIN documents USING (doc_id)")
+def pair_store_documents(spark, sf_dir):
+    return _pair_store(spark, sf_dir).documents().select("id", "text", F.size("ngrams").cast("long").alias("n"), F.md5(F.encode(F.array_join("ngrams", "|"), "UTF-8")).alias("digest"))
+
+
+@query(f"WITH {PAIRS} SELECT doc1, doc2, label, request, CAST(len(list_distinct([substr(request, CAST(i AS INTEGER), 4) FOR i IN generate_series(1, length(request) - 3)])) AS BIGINT) AS n_request FROM learn")
+def pair_store_elements(spark, sf_dir):
+    found = _pair_store(spark, sf_dir).elements()
+    return found.select(F.col("doc_ids")[0].alias("doc1"), F.col("doc_ids")[1].alias("doc2"), "label", "request", F.size("req_ngrams").cast("long").alias("n_request"))
+
+
+@query(f"""WITH {PAIRS}, {GRAMS}, req AS (SELECT line_no, list_distinct([substr(request, CAST(i AS INTEGER), 4) FOR i IN generate_series(1, length(request) - 3)]) AS r FROM learn)
+SELECT doc1, doc2, label, CAST(len(list_intersect(f.g, s.g)) AS BIGINT) AS n_shared, CAST(len(list_intersect(list_intersect(f.g, s.g), r)) AS BIGINT) AS n_shared_request
+FROM learn AS l JOIN req USING (line_no) JOIN grams AS f ON f.doc_id = doc1 JOIN grams AS s ON s.doc_id = doc2""")
+def pair_store_features(spark, sf_dir):
+    return _pair_store(spark, sf_dir).features().select("doc1", "doc2", "label", "n_shared", "n_shared_request")
+
+
 @query("""WITH l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 n AS (SELECT doc_id, toxic, sum(toxic) OVER w AS p, sum(1 - toxic) OVER w AS n FROM l WINDOW w AS (ORDER BY doc_id)),
 g AS (SELECT *, n + least(0, min(2 * p - n) OVER (ORDER BY doc_id)) AS acc FROM n WHERE toxic = 0),
@@ -401,7 +476,7 @@ def html_plain_text(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", html.plain_text(F.col("html")).alias("text"))
 
 
-@query(f"SELECT page_id, lower(regexp_extract(url, '{urls.SCHEME}', 1)) AS scheme, {HOST} AS host, regexp_extract(url, '{urls.PORT}', 1) AS port, regexp_extract(url, '{urls.PATH}', 1) AS path FROM pages")
+@query(f"SELECT page_id, lower(split_part(url, ':', 1)) AS scheme, {HOST} AS host, CASE WHEN contains(split_part(url, '/', 3), ':') THEN split_part(split_part(url, '/', 3), ':', 2) ELSE '' END AS port, substr(regexp_replace(url, '[?#].*', ''), length(split_part(url, '/', 1)) + length(split_part(regexp_replace(url, '[?#].*', ''), '/', 3)) + 3) AS path FROM pages")
 def url_parts(spark, sf_dir):
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.port(u).alias("port"), F.regexp_extract(u, urls.PATH, 1).alias("path"))
@@ -417,30 +492,31 @@ def resolve_links(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", "link", "resolved")
 
 
-@query(f"WITH {HREFS}, {RESOLVED} SELECT page_id, resolved FROM links WHERE lower(regexp_extract(resolved, '{urls.SCHEME}', 1)) IN ('http', 'https') AND lower(regexp_extract(resolved, '{urls.HOST}', 1)) <> '' AND resolved <> page")
+@query(f"WITH {HREFS}, {RESOLVED} SELECT page_id, resolved FROM links WHERE lower(split_part(resolved, ':', 1)) IN ('http', 'https') AND lower(regexp_replace(split_part(regexp_replace(resolved, '[?#].*', ''), '/', 3), ':[0-9]*$', '')) <> '' AND resolved <> page")
 def filter_scheme_self(spark, sf_dir):
     r = F.col("resolved")
     return _links(spark, sf_dir).where(urls.allowed_scheme(r) & (urls.host(r) != "") & (r != F.col("page"))).select("page_id", "resolved")
 
 
-@query(f"WITH {HREFS}, {RESOLVED} SELECT page_id, resolved FROM links WHERE lower(regexp_extract(resolved, '{urls.HOST}', 1)) = lower(regexp_extract(page, '{urls.HOST}', 1))")
+@query(f"WITH {HREFS}, {RESOLVED} SELECT page_id, resolved FROM links WHERE lower(regexp_replace(split_part(regexp_replace(resolved, '[?#].*', ''), '/', 3), ':[0-9]*$', '')) = lower(regexp_replace(split_part(regexp_replace(page, '[?#].*', ''), '/', 3), ':[0-9]*$', ''))")
 def filter_domain(spark, sf_dir):
     return _links(spark, sf_dir).where(urls.in_domain(urls.host(F.col("page")), F.col("resolved"))).select("page_id", "resolved")
 
 
-PORTED = f"ported AS (SELECT page_id, regexp_extract(url, '{urls.ORIGIN}', 1) || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN ':80' WHEN 2 THEN ':8080' ELSE ':81' END || '/x' AS u FROM pages)"
+ORIGIN = "split_part(url, '/', 1) || '//' || split_part(regexp_replace(url, '[?#].*', ''), '/', 3)"
+PORTED = f"ported AS (SELECT page_id, {ORIGIN} || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN ':80' WHEN 2 THEN ':8080' ELSE ':81' END || '/x' AS u FROM pages)"
 
 
-@query(f"WITH {PORTED} SELECT page_id, u FROM ported WHERE regexp_extract(u, '{urls.PORT}', 1) IN ('', '80', '8080')")
+@query(f"WITH {PORTED} SELECT page_id, u FROM ported WHERE NOT contains(split_part(u, '/', 3), ':') OR split_part(split_part(u, '/', 3), ':', 2) IN ('80', '8080')")
 def filter_port(spark, sf_dir):
     at = F.col("page_id") % 4
     u = F.concat(F.regexp_extract("url", urls.ORIGIN, 1), F.when(at == 0, "").when(at == 1, ":80").when(at == 2, ":8080").otherwise(":81"), F.lit("/x"))
     return table(spark, sf_dir, "pages").select("page_id", u.alias("u")).where(urls.allowed_port(F.col("u"), [80, 8080]))
 
 
-@query("SELECT page_id, url FROM pages WHERE (instr(url, 'blog') = 0 OR instr(url, 'blog') = length(url)) AND (instr(url, 'x') = 0 OR instr(url, 'x') = length(url))")
+@query("SELECT page_id, url FROM pages WHERE url NOT LIKE '%blog%' AND (instr(url, '#') = 0 OR instr(url, '#') = length(url))")
 def filter_words(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url").where(urls.without_words(F.col("url"), ["blog", "x"]))
+    return table(spark, sf_dir, "pages").select("page_id", "url").where(urls.without_words(F.col("url"), ["blog", "#"]))
 
 
 TYPED = "typed AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' END AS content_type, CASE WHEN page_id % 6 = 5 THEN chr(1) || chr(2) ELSE html END AS body FROM pages)"
@@ -465,8 +541,8 @@ def reply_routing(spark, sf_dir):
 
 # --- crawl ----------------------------------------------------------------------------------------
 
-CACHE = f"cache AS (SELECT regexp_extract(url, '{urls.ORIGIN}', 1) || '/The' AS url, min(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id % 3 AS INTEGER))) AS ts FROM pages GROUP BY 1)"
-OUT = f"{HREFS}, {RESOLVED}, out AS (SELECT DISTINCT resolved AS url FROM links WHERE lower(regexp_extract(resolved, '{urls.SCHEME}', 1)) IN ('http', 'https') AND lower(regexp_extract(resolved, '{urls.HOST}', 1)) <> '' AND resolved <> page)"
+CACHE = f"cache AS (SELECT {ORIGIN} || '/The' AS url, min(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id % 3 AS INTEGER))) AS ts FROM pages GROUP BY 1)"
+OUT = f"{HREFS}, {RESOLVED}, out AS (SELECT DISTINCT resolved AS url FROM links WHERE lower(split_part(resolved, ':', 1)) IN ('http', 'https') AND lower(regexp_replace(split_part(regexp_replace(resolved, '[?#].*', ''), '/', 3), ':[0-9]*$', '')) <> '' AND resolved <> page)"
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,6 +580,13 @@ def not_modified_body(spark, sf_dir):
     return crawl.with_cached_bodies(replies, cache).select("url", F.octet_length("body").cast("long").alias("size"))
 
 
+@query("SELECT count(*) AS total FROM (SELECT DISTINCT url FROM pages) WHERE true")
+def processed_total(spark, sf_dir):
+    """How many replies a level of the crawl has, as the engine counts them."""
+    replies = pages_of(spark, sf_dir).select("url", F.col("html").alias("body"), F.lit(None).cast("string").alias("error")).dropDuplicates(["url"])
+    return crawl.usable(replies).agg(F.count(F.lit(1)).alias("total"))
+
+
 # --- services -------------------------------------------------------------------------------------
 
 
@@ -634,7 +717,7 @@ def murmur_hash(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", charset.murmur("text", F.lit(0)).alias("hash"))
 
 
-@query()
+@query(f"WITH {GRAMS} SELECT DISTINCT doc_id, hex(encode(x)[:8]) AS gram FROM grams, unnest(g) AS u(x)")
 def gram_keys(spark, sf_dir):
     return text.exploded(docs_of(spark, sf_dir), ["doc_id"], text.ngram_keys(F.col("text")), "gram")
 

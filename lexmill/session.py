@@ -40,6 +40,7 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
     defaults = {
         "spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (defaults | settings).items():
         builder = builder.config(k, v)
@@ -56,9 +57,24 @@ def spread(df):
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share for tables of a job; beside the warehouse where no checkpoint folder is set."""
+    """The folder that driver and executors share for tables of a job: spark.checkpoint.dir; beside the warehouse where a local session has none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return sc.getCheckpointDir()
+
+
+def cut(df):
+    """Write the rows to the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    scratch(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a job's scratch tables through Spark's own file systems."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

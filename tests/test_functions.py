@@ -16,7 +16,7 @@ def one(spark, column, **values):
     ("The cat, the CAT sat.", ["the", "cat", "the", "cat", "sat"]),
     ("it's 3.14 a_b", ["it's", "3.14", "a_b"]),
     ("", []),
-    ("Ünïcode École 中文", ["ünïcode", "école", "中文"]),
+    ("Ünïcode École 中文", ["ünïcode", "école", "中", "文"]), ("abc中文def ひらがなカタカナー漢", ["abc", "中", "文", "def", "ひらがな", "カタカナー", "漢"]),
 ])
 def test_tokens(spark, given_text, words):
     assert one(spark, text.tokens(F.col("t")), t=given_text) == words
@@ -60,6 +60,17 @@ def test_links(spark):
     assert one(spark, html.link_set(F.col("h")), h=page) == ["/x", "/y"]
 
 
+def test_links_in_every_way_of_writing(spark):
+    page = """<a href='/one'>1</a><a href=/two>2</a><a href="three.html">3</a><a title="a > b" href="/four?a=1&amp;b=2">4</a><a data-href="/no" class=x HREF = '/five"5'>5</a>
+<!-- <a href="/hidden"> --><script>var x = '<a href="/script">';</script><a href=" /six ">6</a><a title='href="/no"'>7</a><a\nhref="/s&#101;ven&#x41;">8</a><abbr href="/no">9</abbr><a href="">10</a>"""
+    assert one(spark, html.links(F.col("h")), h=page) == ["/one", "/two", "three.html", "/four?a=1&b=2", '/five"5', "/six", "/sevenA", ""]
+
+
+def test_references(spark):
+    page = "<p>caf&#233; &eacute;t&eacute; &#x1F600; &amp;lt; &hellip; &unknown; &#0; 5 &lt; 6 &NotEqualTilde; a&nbsp;b &amp;</p><p title='a>b'>x</p>"
+    assert one(spark, html.text_nodes(F.col("h")), h=page) == ["café été \U0001f600 &lt; … &unknown; \ufffd 5 < 6 ≂̸ a b &", "x"]
+
+
 def test_word_tokens_and_plain_text(spark):
     page = "<p>One two</p><p>Two</p>"
     assert one(spark, html.word_tokens(F.col("h")), h=page) == ["one", "two", "two"]
@@ -75,11 +86,26 @@ def test_url_parts(spark, url, parts):
     assert (one(spark, urls.scheme(F.col("u")), u=url), one(spark, urls.host(F.col("u")), u=url), one(spark, urls.port(F.col("u")), u=url)) == parts
 
 
-@pytest.mark.parametrize(("link", "want"), [("http://o/z", "http://o/z"), ("//o/z", "http://o/z"), ("/z", "http://h:1/z"), ("?q=2", "http://h:1/a/b?q=2"), ("#f", "http://h:1/a/b?x=1#f"), ("c", None)])
+@pytest.mark.parametrize(("link", "want"), [
+    ("http://o/z", "http://o/z"), ("//o/z", "http://o/z"), ("/z", "http://h:1/z"), ("?q=2", "http://h:1/a/b?q=2"), ("#f", "http://h:1/a/b?x=1#f"),
+    ("c", "http://h:1/a/c"), ("./c?d/../e", "http://h:1/a/c?d/../e"), ("../c", "http://h:1/c"), ("../../../c", "http://h:1/c"), ("c/..", "http://h:1/a/"), ("", "http://h:1/a/b?x=1"), ("/x/./y/../z#f", "http://h:1/x/z#f"),
+])
 def test_resolve(spark, link, want):
     assert one(spark, urls.resolve(F.col("b"), F.col("l")), b="http://h:1/a/b?x=1#old", l=link) == want
-    if want is None:
-        assert one(spark, urls.resolve_any(F.col("b"), F.col("l")), b="http://h:1/a/b?x=1", l=link) == "http://h:1/a/c"
+
+
+def test_resolve_as_the_standard_library(spark):
+    from itertools import product
+    from urllib.parse import urljoin
+
+    bases = ["http://h", "http://h/", "https://h/a", "http://h/a/", "http://h/a/b/c?q#f"]
+    links = ["".join(p) for n in (1, 2, 3) for p in product(("x", ".", "..", "/", "?y", "#z"), repeat=n)]
+    links = [x for x in links if "//" not in x and "..." not in x]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "b string, l string")
+    for r in df.select("b", "l", urls.resolve(F.col("b"), F.col("l")).alias("got")).collect():
+        want = urljoin(r.b, r.l)
+        if not r.l.startswith("?") or "?" not in r.b:
+            assert r.got.rstrip("#") == want.rstrip("#"), (r.b, r.l, r.got, want)
 
 
 @pytest.mark.parametrize(("url", "passes"), [("http://h/", True), ("http://h:8080/", True), ("http://h:81/", False)])

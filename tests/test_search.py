@@ -46,7 +46,9 @@ def test_json(spark):
     df = spark.createDataFrame([("k", "b a b")], "key string, data string")
     hits = search.search(index.build_postings(df, "key", "data"), "a b")
     assert search.as_json(hits).first()["json"] == '{"key":"k","tokens":[{"token":"a","positions":"1"},{"token":"b","positions":"0 2"}]}'
-    assert search.ids_json(hits).first()["json"].startswith('{"result":["')
+    import json
+
+    assert len(json.loads("".join(search.ids_json(hits)))["result"]) == 1 and "".join(search.ids_json(hits.limit(0))) == '{"result":[]}'
 
 
 def test_filter_reaches_the_scan(spark, tmp_path):
