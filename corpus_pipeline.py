@@ -4,7 +4,7 @@ removal, benchmark decontamination and packing.
 Each stage takes all rows that the one before it kept, in the columns of `documents`, and its decision
 takes effect: rejected, repeated and contaminated documents go, and what stays is packed. `run` writes
 every stage's result as Parquet to the shared checkpoint folder and reads it again, which cuts the
-lineage, so a lost executor never repeats an earlier stage.
+lineage, so a lost executor never repeats an earlier stage; a stage's table goes once the next one stands.
 
 Empty tables, null and empty texts, ties and repeated rows are treated as the operators define.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import decontaminate, exact_dedup, packing, quality, simhash
 from lexmill.llm.common import checkpoint_dir, spread, table
+from lexmill.session import remove
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}")
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs
