@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.groups import fresh, join_groups
+from lexmill.session import cut, spread
 from lexmill.session import scratch as checkpoint_dir
-from lexmill.session import spread
 
 __all__ = ["checkpoint_dir", "cut", "free_names", "fresh", "join_groups", "keys", "spread", "table"]
 
@@ -17,46 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)  # read from the session, set only where it is unset
-    return df.checkpoint(eager=True)
-
-
-def fresh(columns: list[str], *names: str) -> list[str]:
-    """Names for helper columns that clash with none of the table's own."""
-    tag = ""
-    while any(f"_{n}{tag}".lower() in {c.lower() for c in columns} for n in names):
-        tag = "_" + uuid.uuid4().hex[:6]
-    return [f"_{n}{tag}" for n in names]
-
-
 def free_names(columns: list[str], *names: str) -> list[str]:
     """Names for result columns: as asked for, or with the first number from 2 on that the table doesn't have yet."""
     taken = {c.lower() for c in columns}
     return [next(x for k in range(1, len(taken) + 2) if (x := n if k == 1 else f"{n}_{k}").lower() not in taken) for n in names]
 
 
-#: A broadcast of hot groups has at most this many rows.
-HOT_GROUPS = 2000
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:
-    """rows joined to their groups, groups having a row per key and the number of its rows in `size`.
-
-    Fewer than HOT_GROUPS groups can hold over n_rows / HOT_GROUPS rows each, so those are broadcast
-    whatever the table's size; the others are too small to make a task of the shuffle uneven. A left join
-    keeps rows without a group.
-    """
-    (hot_key,) = fresh(rows.columns + groups.columns, "hot")
-    big = n_rows // HOT_GROUPS + 1
-    hot = F.broadcast(groups.where(F.col(size) >= big).withColumnRenamed(key, hot_key))
-    found = rows.join(hot, F.col(key).eqNullSafe(F.col(hot_key)), "left")
-    first = found.where(F.col(hot_key).isNotNull()).drop(hot_key)
-    rest = found.where(F.col(hot_key).isNull()).select(rows.columns).join(groups.where(F.col(size) < big), key, how)
-    return first.select(rest.columns).unionByName(rest)
-
-
 def keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     """A document's own key of 128 bits."""
     parts = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
