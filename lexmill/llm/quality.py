@@ -25,16 +25,17 @@ being null; repeated rows return as often as they come; other columns of the inp
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, fresh, spread, table
 from lexmill.session import ship
 
 #: Labelled rows of either class that are learned from, and the bytes that they may have together.
-PER_CLASS, MAX_BYTES = 6000, 24 << 20
+PER_CLASS, MAX_BYTES = 6000, 8 << 20
 #: A dictionary's share of its samples and its greatest size.
 SHARE, DICTIONARY_BYTES = 1 / 8, 262_144
 LEVEL, CHUNK, SAMPLE = 3, 1024, 4096
@@ -136,8 +137,13 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     first = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_class rows at most
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(first, "doc_id")
     texts = cut(texts.groupBy("doc_id", "good", "turn").agg(F.min("text").alias("text")))
-    size = F.sum(F.octet_length("text")).over(Window.partitionBy("good").orderBy("turn", "doc_id"))  # over those rows only
-    return counts, texts.withColumn("size", size).where(F.col("size") <= max_bytes).select("good", "text", (F.pmod("turn", F.lit(3)) == 0).alias("later"))
+    left, last = {0: max_bytes, 1: max_bytes}, {}
+    for row in sorted(texts.select("good", "turn", F.octet_length("text").alias("size")).collect()):  # at most as many rows
+        left[row["good"]] -= row["size"]
+        if left[row["good"]] >= 0:
+            last[row["good"]] = row["turn"]
+    fits = [F.lit(False)] + [(F.col("good") == k) & (F.col("turn") <= turn) for k, turn in last.items()]
+    return counts, texts.where(reduce(lambda a, b: a | b, fits)).select("good", "text", (F.pmod("turn", F.lit(3)) == 0).alias("later"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
@@ -147,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts, texts = sampled(docs, labels, id_col, text_col, label_col, per_class, max_bytes)
     rows = sorted((r["good"], r["text"]) for r in texts.where("not later").select("good", "text").collect())  # 2 * max_bytes at most
     model = Model([t for g, t in rows if g == 1], [t for g, t in rows if g == 0])
+    del rows
     if not model.trained:
         model.constant = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         return model

@@ -350,7 +350,9 @@ def test_a_document_without_id_links_others(spark):
     assert sorted(r.text for r in simhash.near_dedup(docs).collect()) == sorted([one, "no id and alone"])
 
 
-def test_components_of_a_star_with_a_large_hub(spark):
+@pytest.mark.parametrize("hub", [100, 10**6])
+def test_components_of_a_star_with_a_large_hub(spark, monkeypatch, hub):
+    monkeypatch.setattr(simhash, "HUB", hub)
     edges = spark.range(1, 20_001).select(F.col("id").alias("hi"), F.lit(0).cast("long").alias("lo")).union(spark.range(1).select(F.lit(30_000), F.lit(20_000)))
     rows = simhash.components(edges).collect()
     assert len(rows) == 20_001 and {r.component for r in rows} == {0}
