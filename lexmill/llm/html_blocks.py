@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 from zlib import crc32
@@ -60,6 +61,14 @@ def hashed(token: str, dims: int) -> int:
     return crc32(token.encode()) % dims
 
 
+@lru_cache(4096)
+def bits_of(tag: str, names: tuple[str, ...]) -> tuple[int, int]:
+    words = 0
+    for n in names:
+        words |= 1 << hashed(n, NAME_DIMS)
+    return 1 << hashed(tag, TAG_DIMS), words
+
+
 class Open:
     """The open elements, with the last place of each tag at hand."""
 
@@ -82,10 +91,8 @@ class Open:
     def push(self, tag: str, names: tuple[str, ...] = ()) -> None:
         path = self.path
         if tag not in INLINE:
-            bits = path.names
-            for n in names:
-                bits |= 1 << hashed(n, NAME_DIMS)
-            path = Path(path.tags | 1 << hashed(tag, TAG_DIMS), bits, tag, names)
+            tags, words = bits_of(tag, names)
+            path = Path(path.tags | tags, path.names | words, tag, names)
             self.blocks.append(len(self.stack))
         self.places[tag].append(len(self.stack))
         self.stack.append((tag, path, self.links + (tag == "a")))
@@ -98,7 +105,7 @@ class Open:
                 self.blocks.pop()
 
     def close_implied(self, ends: Iterable[str], scope: Iterable[str]) -> None:
-        if (i := self.last(ends)) > self.last(scope):
+        if (i := self.last(ends)) >= 0 and i > self.last(scope):
             self.pop_to(i)
 
 
@@ -150,7 +157,8 @@ def blocks_of(html: str | None) -> list[Block]:
         else:
             flush()
             if tag not in VOID:
-                open_.close_implied(*_CLOSES.get(tag, ((), ())))
+                if tag in _CLOSES:
+                    open_.close_implied(*_CLOSES[tag])
                 open_.close_implied(("p",), _PARAGRAPH_SCOPE)
                 open_.push(tag, names_of(m[4]) if m[4] else ())
     if at < len(html):
