@@ -16,6 +16,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ TRAIN_PAGES, EPOCHS, BATCH, RATE = 3000, 8, 50, 0.01
 MOST = 20_000
 _TERMS = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s]")
+_NONE = np.empty(0, np.int64)
 
 
 def path_vector(path: Path) -> np.ndarray:
@@ -47,23 +49,50 @@ def path_vector(path: Path) -> np.ndarray:
     return v
 
 
-def text_vector(block: Block, place: float, n: int) -> np.ndarray:
-    text, v = block.text, np.zeros(WORD_DIMS + SHAPE_DIMS, np.float32)
-    terms = _TERMS.findall(text.lower())
-    if terms:
-        at, count = np.unique([hashed(t, WORD_DIMS) for t in terms], return_counts=True)
-        v[at] = np.log1p(count) / np.log1p(len(terms))
-    size = len(text)
-    v[WORD_DIMS:] = (
-        np.log1p(size) / 8, np.log1p(len(terms)) / 6, block.linked / size, min(1.0, 4 * len(_MARKS.findall(text)) / size), sum(map(str.isdigit, text)) / size,
-        sum(map(str.isupper, text)) / size, place, 1 - place, np.log1p(n) / 6, 1.0,
+#: A character's kind (mark, digit, capital), each a count in its own 20 bits of a sum; -1 until it is met.
+_KINDS = np.full(0x110000, -1, np.int64)
+#: Characters whose kinds are counted at once.
+PIECE = (1 << 20) - 1
+
+
+def kinds(texts: list[str]) -> np.ndarray:
+    """How many marks, digits and capitals each of the texts has; none may be empty."""
+    sizes = [*map(len, texts)]
+    if sum(sizes) > PIECE:
+        if len(texts) == 1:
+            return kinds([texts[0][a : a + PIECE] for a in range(0, sizes[0], PIECE)]).sum(0, keepdims=True)
+        half = len(texts) // 2
+        return np.concatenate([kinds(texts[:half]), kinds(texts[half:])])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = _KINDS[codes]
+    if (new := codes[found < 0]).size:
+        for code in set(new.tolist()):
+            c = chr(code)
+            _KINDS[code] = bool(_MARKS.match(c)) | c.isdigit() << 20 | c.isupper() << 40
+        found = _KINDS[codes]
+    sums = np.add.reduceat(found, np.cumsum([0, *sizes[:-1]]))
+    return np.stack([sums & PIECE, sums >> 20 & PIECE, sums >> 40], 1)
+
+
+def text_vectors(blocks: list[Block], before: int, n: int) -> np.ndarray:
+    """The part of the blocks' vectors that their texts and places give."""
+    texts, m = [b.text for b in blocks], len(blocks)
+    words = np.empty((m, WORD_DIMS))
+    for i, text in enumerate(texts):
+        words[i] = np.bincount([crc32(w.encode()) % WORD_DIMS for w in _TERMS.findall(text.lower())] or _NONE, minlength=WORD_DIMS)
+    terms = words.sum(1)
+    size = np.array([*map(len, texts)], float)
+    marks, digits, capitals = kinds(texts).T / size
+    place = (before + np.arange(m) + 0.5) / n
+    shape = (
+        np.log1p(size) / 8, np.log1p(terms) / 6, np.array([b.linked for b in blocks]) / size, np.minimum(1, 4 * marks), digits,
+        capitals, place, 1 - place, np.full(m, np.log1p(n) / 6), np.ones(m),
     )
-    return v
+    return np.concatenate([np.log1p(words) / np.log1p(np.maximum(terms, 1))[:, None], np.stack(shape, 1)], 1)
 
 
 def vectors(blocks: list[Block], seen: dict | None = None, before: int = 0, n: int | None = None) -> np.ndarray:
     """A vector per block of a page, or of a stretch of it that has so many blocks before it, of n."""
-    n = len(blocks) if n is None else n
     seen = {} if seen is None else seen
     out = np.empty((len(blocks), DIMS), np.float32)
     for i, b in enumerate(blocks):
@@ -72,7 +101,7 @@ def vectors(blocks: list[Block], seen: dict | None = None, before: int = 0, n: i
                 seen.clear()
             p = seen[b.path] = path_vector(b.path)
         out[i, : len(p)] = p
-        out[i, len(p) :] = text_vector(b, (before + i + 0.5) / n, n)
+    out[:, len(p) :] = text_vectors(blocks, before, len(blocks) if n is None else n)
     return out
 
 

@@ -139,6 +139,15 @@ def test_long_pages_in_stretches():
         assert model.chances_of_long(blocks, stretch=stretch) == pytest.approx(whole, abs=1e-5)
 
 
+def test_kinds_of_characters(monkeypatch):
+    texts = ["aB3-é😀", "²١٢ “Q” ÀΣ_", "x", "+-" * 50]
+    count = lambda t: [sum(bool(html_extract._MARKS.match(c)) for c in t), sum(map(str.isdigit, t)), sum(map(str.isupper, t))]
+    expected = [count(t) for t in texts]
+    assert html_extract.kinds(texts).tolist() == expected
+    monkeypatch.setattr(html_extract, "PIECE", 7)  # a mask of three bits: sums of up to seven characters
+    assert html_extract.kinds(texts).tolist() == expected
+
+
 def test_extract_ids_of_any_type(spark):
     df = spark.createDataFrame([("p1", PAGE)], "page_id string, html string").withColumn("url", F.lit("u"))
     assert html_extract.extract(df).first().page_id == "p1"
