@@ -42,8 +42,8 @@ _NONE = np.empty(0, np.int64)
 def path_vector(path: Path) -> np.ndarray:
     """The part of a block's vector that its tag path gives; blocks of a page share few paths."""
     v = np.zeros(TAG_DIMS + NAME_DIMS + PARENT_DIMS, np.float32)
-    v[[i for i in range(TAG_DIMS) if path.tags >> i & 1]] = 1
-    v[[TAG_DIMS + i for i in range(NAME_DIMS) if path.names >> i & 1]] = 1
+    bits = (path.tags | path.names << TAG_DIMS).to_bytes((TAG_DIMS + NAME_DIMS) // 8, "little")
+    v[: TAG_DIMS + NAME_DIMS] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
     if path.tag:
         v[[TAG_DIMS + NAME_DIMS + hashed(t, PARENT_DIMS) for t in (f"<{path.tag}", *(f".{n}" for n in path.own))]] = 1
     return v
